@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, shards, viterbi
+from . import bpe, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -32,6 +32,11 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), _spec())
 
 
+def op7_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(read_table(spark, sf_dir, "documents"), viterbi.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_secret_scan,
             op3_stratified_shards,
             op6_bpe_transducer,
+            op7_simhash_ring,
             op8_viterbi_counts,
         )
     }
@@ -59,12 +65,12 @@ crc_table as (
 OP3 = f"""
 with {_CRC},
 bytes as (
-  select doc_id, source, coalesce(text, '') tx, encode(coalesce(text, '')) b from documents),
+  select doc_id, source, encode(coalesce(text, '')) b, hex(encode(coalesce(text, ''))) hx, t from documents, crc_table),
 rows_ as (
   select doc_id, source, octet_length(b) + 1 size,
     xor(list_reduce(list_prepend(4294967295::bigint,
-        list_transform(range(1, octet_length(b)::bigint * 2, 2), lambda i: ('0x' || substr(hex(b), i, 2))::bigint)),
-      lambda c, x: xor(c >> 8, (select t from crc_table)[(xor(c, x) & 255) + 1])), 4294967295) text_crc32,
+        list_transform(range(1, octet_length(b)::bigint * 2, 2), lambda i: ('0x' || substr(hx, i, 2))::bigint)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) text_crc32,
     md5('42:' || doc_id) h
   from bytes),
 ranked as (
