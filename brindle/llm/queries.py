@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, shards, simhash, viterbi
+from . import bpe, fertility, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -28,6 +28,12 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rate(
+        read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    )
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), _spec())
 
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_secret_scan,
             op3_stratified_shards,
+            op5_fertility_rules,
             op6_bpe_transducer,
             op7_simhash_ring,
             op8_viterbi_counts,
