@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, secrets, shards, simhash, viterbi
+from . import bpe, fertility, repair, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"), _spec(), end_id=2)
+
+
 def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(read_table(spark, sf_dir, "documents"), shards=8, seed=42)
     return placed.select(
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_secret_scan,
+            op2_repair_ids,
             op3_stratified_shards,
             op5_fertility_rules,
             op6_bpe_transducer,
