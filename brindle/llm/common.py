@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -115,5 +116,8 @@ class Tables:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)
+    def free(self) -> None:
+        """Let Spark drop the shuffle files of frames that are no longer referenced, before the next stage fills the disk."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, repair, secrets, shards, simhash, viterbi
+from . import bpe, debruijn, fertility, repair, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -51,6 +51,11 @@ def op8_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(read_table(spark, sf_dir, "documents"), viterbi.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op9_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_bpe_transducer,
             op7_simhash_ring,
             op8_viterbi_counts,
+            op9_debruijn_spans,
         )
     }
 
@@ -96,5 +102,22 @@ from placed
 """
 
 
+OP9 = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+places as (
+  select doc_id, ws, unnest(range(1, len(ws) - 18)) s from words),
+judged as (
+  select doc_id, s, row_number() over (partition by array_to_string(ws[s:s + 19], ' ') order by doc_id, s) r from places),
+gone as (
+  select doc_id, list(distinct p) ps from (select doc_id, unnest(range(s, s + 20)) p from judged where r > 1) group by doc_id),
+left_ as (
+  select doc_id, len(ws) n_words, coalesce(len(ps), 0) n_removed,
+    case when ps is null then ws else list_filter(ws, lambda w, i: not list_contains(ps, i)) end kept
+  from words left join gone using (doc_id))
+select doc_id, n_words::bigint n_words, n_removed::bigint n_removed, sha256(array_to_string(kept, ' ')) kept_sha256 from left_
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_stratified_shards": OP3}
+    return {"op3_stratified_shards": OP3, "op9_debruijn_spans": OP9}
