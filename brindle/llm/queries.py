@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, fertility, repair, secrets, shards, simhash, viterbi
+from . import bpe, debruijn, fertility, lines, repair, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -32,6 +32,11 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rate(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_secret_scan,
             op2_repair_ids,
             op3_stratified_shards,
+            op4_fuzzy_lines,
             op5_fertility_rules,
             op6_bpe_transducer,
             op7_simhash_ring,
