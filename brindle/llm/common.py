@@ -76,10 +76,11 @@ _PER_PROCESS: dict = {}
 
 
 def per_process(key, make: Callable):
-    value = _PER_PROCESS.get(key)
-    if value is None:
-        value = _PER_PROCESS[key] = make()
-    return value
+    """The value ``make`` gave for ``key`` in this process. Of keys that are tuples with one first part only the latest stays."""
+    name, version = (key[0], key[1:]) if isinstance(key, tuple) else (key, ())
+    if name not in _PER_PROCESS or _PER_PROCESS[name][0] != version:
+        _PER_PROCESS[name] = version, make()
+    return _PER_PROCESS[name][1]
 
 
 def shared_dir(spark: SparkSession) -> str:

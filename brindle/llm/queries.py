@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, fertility, lines, repair, secrets, shards, simhash, viterbi
+from . import bpe, debruijn, fertility, latent, lines, repair, secrets, shards, simhash, viterbi
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op9_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_simhash_ring,
             op8_viterbi_counts,
             op9_debruijn_spans,
+            op10_latent_decontam,
         )
     }
 
