@@ -66,6 +66,7 @@ class Merges:
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
         self._trees: dict[str, tuple | None] = {}
         self._pairs = Memo(lambda p: self._compatible(*p), 400_000)
+        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 400_000)
         self._lookahead: int | None = None
         self._good: dict[str, int] | None = None
         self._lengths: dict = {}  # by the last two symbols of a token: lengths of such tokens, longest first
@@ -178,6 +179,29 @@ class Merges:
                 n -= cut
         yield from self._chain(last, n)
 
+    def tokens_of(self, text: str) -> list[str]:
+        """Tokens of a short word, by the same rule from its end: the state of a prefix is its last token, and
+        prefixes are shared by many words, so their states are kept in a bounded memo."""
+        good, prefix, at = self._self_encoding(), self._prefixes, len(text)
+        out = [self._last(text, at, self.end)]
+        at -= good[out[0]]
+        while at > 0:
+            t = prefix[text[:at]]
+            out.append(t)
+            at -= good[t]
+        return out[::-1]
+
+    def _last(self, text: str, n: int, mark: str) -> str:
+        """The last token of ``text``, a word (``mark`` is its end mark) or a prefix of one (no mark)."""
+        good, prefix, pairs = self._good, self._prefixes, self._pairs
+        for size in self._lengths.get(text[-2:] + mark, ()) if n > 1 else ():
+            if size <= n and (t := text[n - size :] + mark) in good and (size == n or pairs[prefix[text[: n - size]], t]):
+                return t
+        t = text[-1] + mark
+        if t not in good or (n > 1 and not pairs[prefix[text[:-1]], t]):
+            raise ValueError("a symbol is not in the vocabulary")
+        return t
+
     def _chain(self, last: list, at: int) -> list[str]:
         out = []
         while at > 0:
@@ -215,11 +239,10 @@ class WordBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.byte = byte_chars()
         self.tokens: dict[int, str] = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self._pieces = Memo(self._encode_piece, 100_000)
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        vocab = self.vocab
-        return tuple(vocab[t] for t in self.merges.stream(self._symbols(piece)))
+    def _encode_piece(self, piece: str) -> list[int]:
+        tokens = self.merges.tokens_of(piece) if len(piece) <= MEMO_CHARS else self.merges.stream(self._symbols(piece))
+        return [self.vocab[t] for t in tokens]
 
     def _symbols(self, piece: str) -> Iterator[str]:
         """Symbols of a piece one by one; the last has the end mark."""
@@ -235,12 +258,15 @@ class WordBpe:
                 out.append(self.special[part])
             elif part:
                 for piece in self._split(part):
-                    out.extend(self._pieces[piece] if len(piece) <= MEMO_CHARS else self._encode_piece(piece))
+                    out.extend(self._encode_piece(piece))
         return out
 
     def _split(self, part: str) -> list[str]:
         if PLAIN.fullmatch(part):
-            return ["".join(map(self.byte.__getitem__, p.encode())) for p in SPLIT.findall(part.lower())]
+            pieces = SPLIT.findall(part.lower())
+            if part.isascii():  # printable ASCII stands for itself
+                return pieces
+            return ["".join(map(self.byte.__getitem__, p.encode())) for p in pieces]
         return [p for p, _ in self.pieces_of(self.normalise(part))]
 
     def encode(self, text: str) -> list[int]:
