@@ -44,6 +44,17 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., Iterable[tuple
     return df.select(*columns).mapInArrow(run, spark_schema)
 
 
+def filter_rows(df: DataFrame, columns: list[str], fn: Callable[..., Iterable[bool]]) -> DataFrame:
+    """Rows of ``df``, with all columns, for which ``fn(*column lists)`` gives true; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = list(fn(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in columns)))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)

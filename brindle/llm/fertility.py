@@ -19,11 +19,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import WORD, Memo, map_rows, per_process
+from .common import WORD, Memo, filter_rows, map_rows, per_process
 
 WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
@@ -150,17 +151,17 @@ SCHEMA = (
 )
 
 
-def rate(
-    docs: DataFrame, piece_model: str, byte_ranks: str, bands: dict[str, Band] = BANDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
-) -> DataFrame:
-    """One row per document: base counts, measures, and whether it is kept."""
-    plain = {k: astuple(b) for k, b in bands.items()}
+class Rater:
+    """Rates texts in a worker; made from plain values, so it is cheap to ship."""
 
-    def rows(ids, texts, langs):
-        v = per_process(("fertility", piece_model, byte_ranks), lambda: Vocabularies(piece_model, byte_ranks))
-        memo = per_process(("fertility-words", piece_model, byte_ranks), lambda: Memo(v.measure))
-        table = {k: Band(*b) for k, b in plain.items()}
-        for i, t, g in zip(ids, texts, langs, strict=True):
+    def __init__(self, piece_model: str, byte_ranks: str, bands: dict[str, Band]):
+        self.paths, self.plain = (piece_model, byte_ranks), {k: astuple(b) for k, b in bands.items()}
+
+    def __call__(self, texts: list, langs: list) -> Iterator[tuple]:
+        v = per_process(("fertility", *self.paths), lambda: Vocabularies(*self.paths))
+        memo = per_process(("fertility-words", *self.paths), lambda: Memo(v.measure))
+        table = {k: Band(*b) for k, b in self.plain.items()}
+        for t, g in zip(texts, langs, strict=True):
             t = t or ""
             words = WORDS.findall(t)
             n_words, chars = len(words), sum(map(len, words))
@@ -179,6 +180,23 @@ def rate(
             name = g if g in table else script_of(t)
             good = verdict(table[name if name in table else "other"], chars, pieces, byte_pieces, byte_tokens, bits)
             symbols = sum(map(t.count, SYMBOLS))
-            yield i, n_words, chars, symbols, repeated_lines(t), n_repeat, failed, not failed and good, pieces, byte_pieces, byte_tokens, bits, name
+            yield n_words, chars, symbols, repeated_lines(t), n_repeat, failed, not failed and good, pieces, byte_pieces, byte_tokens, bits, name
+
+
+def rate(
+    docs: DataFrame, piece_model: str, byte_ranks: str, bands: dict[str, Band] = BANDS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """One row per document: base counts, measures, and whether it is kept."""
+    rater = Rater(piece_model, byte_ranks, bands)
+
+    def rows(ids, texts, langs):
+        for i, r in zip(ids, rater(texts, langs), strict=True):
+            yield i, *r
 
     return map_rows(docs, [doc_id, text, lang], rows, SCHEMA)
+
+
+def keep_good(docs: DataFrame, piece_model: str, byte_ranks: str, bands: dict[str, Band] = BANDS, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` without those that are rejected, with all columns."""
+    rater = Rater(piece_model, byte_ranks, bands)
+    return filter_rows(docs, [text, lang], lambda texts, langs: [r[6] for r in rater(texts, langs)])

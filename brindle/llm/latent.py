@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, map_rows, per_process
+from .common import WORD, Memo, filter_rows, map_rows, per_process
 
 BLOCK = 16
 SCALES = (2, 3, 5)  # blocks in a passage; one of b blocks holds any (b - 1) * BLOCK words whole
@@ -343,27 +343,37 @@ class Matcher:
 SCHEMA = "doc_id long, n_items long, item_ids string, best_share double, contaminated boolean"
 
 
+class Searcher:
+    """Finds a block's items in texts, in a worker. Fitting it takes two passes over all documents."""
+
+    def __init__(self, docs: DataFrame, items: Items, text: str):
+        total, df = document_frequency(docs, items, text)
+        weight = weights(items, total, df)
+        basis = singular_vectors(docs, items, weight, text)
+        self.held = docs.sparkSession.sparkContext.broadcast((items, weight, basis, df))  # of bounded size: see BENCHMARK_BYTES
+        self.key, self.number = _key(items), uuid.uuid4().hex
+
+    def __call__(self, texts: list) -> Iterator[tuple[list, float]]:
+        """Items found in each text, ascending, and the best share."""
+        m = per_process(("matcher", self.number), lambda: Matcher(*self.held.value))
+        numbers = _numbers(m.items.vocab, self.key)
+        chunk = Chunk.empty()
+        for end, t in enumerate(texts, 1):
+            chunk.add(_term_ids(t, numbers), LONG)
+            if chunk.blocks >= CHUNK or end == len(texts):
+                for best in m.hits(chunk):
+                    yield sorted({m.items.ids[k] for k in best}), max(best.values(), default=0.0)
+                chunk = Chunk.empty()
+
+
 def _search(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
-    spark, key = docs.sparkSession, _key(items)
     if not items.words:
         return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("item_ids"), F.lit(0.0).alias("best_share"), F.lit(False).alias("contaminated"))
-    total, df = document_frequency(docs, items, text)
-    weight = weights(items, total, df)
-    basis = singular_vectors(docs, items, weight, text)
-    held = spark.sparkContext.broadcast((items, weight, basis, df))  # of bounded size: see BENCHMARK_BYTES
-    number = uuid.uuid4().hex
+    search = Searcher(docs, items, text)
 
     def rows(ids, texts):
-        m = per_process(("matcher", number), lambda: Matcher(*held.value))
-        numbers = _numbers(m.items.vocab, key)
-        at, chunk = 0, Chunk.empty()
-        for end, t in enumerate(texts, 1):
-            chunk.add(_term_ids(t, numbers), LONG)
-            if chunk.blocks >= CHUNK or end == len(texts):
-                for i, best in zip(ids[at:end], m.hits(chunk), strict=True):
-                    found = sorted({m.items.ids[k] for k in best})
-                    yield i, len(found), ",".join(map(str, found)), max(best.values(), default=0.0), bool(found)
-                at, chunk = end, Chunk.empty()
+        for i, (found, best) in zip(ids, search(texts), strict=True):
+            yield i, len(found), ",".join(map(str, found)), best, bool(found)
 
     return map_rows(docs, [doc_id, text], rows, SCHEMA)
 
@@ -394,7 +404,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones, with all columns."""
-    bad = find_leaks(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones, with all columns; no shuffle of texts."""
+    out = docs
+    for items in item_blocks(benchmark):
+        if items.words:
+            search = Searcher(docs, items, text)
+            out = filter_rows(out, [text], lambda texts, search=search: [not found for found, _ in search(texts)])
+    return out

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Tables, map_rows
@@ -168,3 +169,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(edges, tables)
     named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with all columns, the document with the smallest doc_id of each component alone; of rows that repeat it, the one
+    whose text has the smallest hash."""
+    stay = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")), "left_semi")
+    order = W.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    return kept.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").drop("_copy")

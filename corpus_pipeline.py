@@ -1,12 +1,50 @@
-"""The corpus pipeline: STAGES over documents, each stage's rows written and read again as the next one's input."""
+"""The corpus pipeline: STAGES over documents, each stage's rows written and read again as the next one's input.
+
+Documents rejected by the quality rules go; repeated lines go from the texts of the rest; one document of
+each near-duplicate group stays; documents with benchmark items go; what is left is encoded. A stage keeps
+all columns of its input (n_chars follows the text), but for the last, which returns the digests of the
+encoding. Null and empty texts, repeated rows and empty tables are as the operators define them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from brindle.llm import bpe, fertility, latent, lines, simhash
 from brindle.llm.common import Tables, read_table
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fertility.keep_good(docs, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(docs).drop("n_lines", "n_removed")
+    return left.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return latent.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return bpe.digests(docs, f.read())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("bpe_encoding", encode),
+]
 
 #: Tokenisation and near-duplicate groups are beyond SQL; the tests hold the pipeline against brute force.
 ORACLE_SQL = None
