@@ -22,7 +22,7 @@ select 'o' || cast(o_orderkey as string) fid, 'endpoint-detector' rule_id, 'endp
     when 0 then '/api/v1/orders/' || cast(o_orderkey as string)
     when 1 then 'https://api' || cast(o_custkey % 3 as string) || '.example.com/v2/customers/' || cast(o_custkey as string) || '?page=' || cast(o_orderkey % 4 as string) || '&sort=asc'
     when 2 then '/rest/items/' || cast(o_custkey % 50 as string) || '/reviews#top'
-    when 3 then '/users/${id}/profile'
+    when 3 then '/users/$' || '{id}/profile'
     when 4 then 'HTTPS://Shop.Example.com:443/cart/' || md5(cast(o_custkey % 9 as string))
     when 5 then '/admin/users/' || cast(o_custkey % 13 as string)
     when 6 then '/uploads/' || substr(md5(cast(o_custkey % 7 as string)), 1, 8) || '-aaaa-bbbb-cccc-' || substr(md5(cast(o_custkey % 7 as string)), 1, 12)
