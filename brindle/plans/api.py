@@ -189,25 +189,7 @@ WL_DOMAINS = f"""select {HOST} w from {W_IN} where {W_ABS} and {HOST} <> '' unio
 WL_DIRS = f"""with d as (select '/' || array_to_string(t[1:unnest(range(1, len(t) + 1))], '/') w from (select {UNTIL} t from (select s from (select list_filter(string_split({BARE}, '/'), lambda s: s <> '') s from {W_IN} where starts_with({BARE}, '/'))))) select w from d union select ltrim(w, '/') from d"""
 
 
-def _wl_endpoints(spark, sf_dir):
-    v = F.col("value")
-    e = endpoints(spark, sf_dir).select("value")
-    abs_ = v.rlike("^(https?:)?//")
-    fuzz = lambda c: U.templates_to(c, "FUZZ")
-    p, q = U.path(v), U.url_query(v)
-    bare = F.regexp_extract(fuzz(v), "^([^?]*)", 1)
-    rel = ~abs_ & v.startswith("/")
-    out = F.array(
-        F.when(abs_ & ~p.isin("", "/"), fuzz(p)),
-        F.when(abs_ & (q != ""), F.concat(F.when(p == "", "/").otherwise(p), F.lit("?"), q)),
-        F.when(rel, fuzz(v)),
-        F.when(rel & F.contains(v, F.lit("?")) & ~bare.isin("", "/"), bare),
-    )
-    return e.select(F.explode(F.array_compact(out)).alias("w")).distinct()
-
-
-def _bare():
-    v = F.col("value")
+def _bare(v):
     return F.when(v.rlike("^(https?:)?//"), U.path(v)).otherwise(F.regexp_extract(v, "^([^?]*)", 1))
 
 
@@ -218,64 +200,87 @@ def _prefixes(s):
     return F.transform(F.filter(F.transform(s, lambda x, i: i + 1), lambda i: i <= n), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(s, F.lit(1), i), "/")))
 
 
-def _wl_paths(spark, sf_dir):
-    s = U.segments(_bare())
-    e = endpoints(spark, sf_dir).filter(~_bare().isin("", "/")).select(s.alias("s"))
+def endpoint_words(v):
+    """Paths with placeholders as FUZZ, with and without their query."""
+    fuzz = lambda c: U.templates_to(c, "FUZZ")
+    abs_ = v.rlike("^(https?:)?//")
+    p, q = U.path(v), U.url_query(v)
+    bare = F.regexp_extract(fuzz(v), "^([^?]*)", 1)
+    rel = ~abs_ & v.startswith("/")
+    return F.array_compact(
+        F.array(
+            F.when(abs_ & ~p.isin("", "/"), fuzz(p)),
+            F.when(abs_ & (q != ""), F.concat(F.when(p == "", "/").otherwise(p), F.lit("?"), q)),
+            F.when(rel, fuzz(v)),
+            F.when(rel & F.contains(v, F.lit("?")) & ~bare.isin("", "/"), bare),
+        )
+    )
+
+
+def path_words(v):
+    """Segments that are no ids, placeholders or files, and progressive prefixes."""
+    s = U.segments(_bare(v))
     asset = rf"\.({'|'.join(ASSETS)})$"
-    own = F.filter("s", lambda x: ~F.contains(x, F.lit("{")) & ~x.rlike("^[0-9]+$") & ~x.rlike(asset))
-    return e.select(F.explode(F.concat(own, _prefixes(F.col("s")))).alias("w")).distinct()
+    own = F.filter(s, lambda x: ~F.contains(x, F.lit("{")) & ~x.rlike("^[0-9]+$") & ~x.rlike(asset))
+    return F.concat(own, _prefixes(s))
 
 
-def _wl_params(spark, sf_dir):
-    kv = F.split("kv", "=")
-    e = endpoints(spark, sf_dir).select(F.explode(F.split(U.url_query(F.col("value")), "&")).alias("kv")).filter(F.contains("kv", F.lit("=")))
-    return e.filter(F.get(kv, 1) != "").select(kv[0].alias("w")).distinct()
+def param_words(v):
+    kv = F.filter(F.split(U.url_query(v), "&"), lambda x: x.rlike("^[^=]*=[^=]"))
+    return F.transform(kv, lambda x: F.split(x, "=")[0])
 
 
-def _wl_domains(spark, sf_dir):
-    v = F.col("value")
-    e = endpoints(spark, sf_dir).filter(v.rlike("^(https?:)?//"))
+def domain_words(v):
     h, p = U.host(v), U.port(v)
-    urls = e.select(F.explode(F.array_compact(F.array(F.when(h != "", h), F.when(p != "", F.concat(h, F.lit(":"), p))))).alias("w"))
-    return urls.union(findings(spark, sf_dir).filter("category = 'domain'").select(F.lower("value"))).distinct()
+    abs_ = v.rlike("^(https?:)?//")
+    return F.array_compact(F.array(F.when(abs_ & (h != ""), h), F.when(abs_ & (p != ""), F.concat(h, F.lit(":"), p))))
+
+
+def dir_words(v):
+    below = _prefixes(U.segments(_bare(v)))
+    both = F.concat(below, F.transform(below, lambda x: F.ltrim(x, F.lit("/"))))
+    return F.when(_bare(v).startswith("/"), both).otherwise(F.array().cast("array<string>"))
+
+
+def _words(spark, sf_dir, *lists):
+    """Distinct words of the lists: one pass over the endpoints and one shuffle, whatever the number of lists."""
+    v = F.col("value")
+    return endpoints(spark, sf_dir).select(F.explode(F.array_distinct(F.concat(*(f(v) for f in lists)))).alias("w")).distinct()
 
 
-def _wl_dirs(spark, sf_dir):
-    e = endpoints(spark, sf_dir).filter(_bare().startswith("/")).select(F.explode(_prefixes(U.segments(_bare()))).alias("w"))
-    return e.union(e.select(F.ltrim("w", F.lit("/")))).distinct()
+def _named_domains(spark, sf_dir):
+    return findings(spark, sf_dir).filter("category = 'domain'").select(F.lower("value").alias("w"))
 
 
 @query(WL_ENDPOINTS)
 def wordlist_endpoints(spark, sf_dir):
-    return _wl_endpoints(spark, sf_dir)
+    return _words(spark, sf_dir, endpoint_words)
 
 
 @query(WL_PATHS)
 def wordlist_paths(spark, sf_dir):
-    return _wl_paths(spark, sf_dir)
+    return _words(spark, sf_dir, path_words)
 
 
 @query(WL_PARAMS)
 def wordlist_params(spark, sf_dir):
-    return _wl_params(spark, sf_dir)
+    return _words(spark, sf_dir, param_words)
 
 
 @query(WL_DOMAINS)
 def wordlist_domains(spark, sf_dir):
-    return _wl_domains(spark, sf_dir)
+    return _words(spark, sf_dir, domain_words).union(_named_domains(spark, sf_dir)).distinct()
 
 
 @query(WL_DIRS)
 def wordlist_dirs(spark, sf_dir):
-    return _wl_dirs(spark, sf_dir)
+    return _words(spark, sf_dir, dir_words)
 
 
 @query(f"select w from ({WL_ENDPOINTS}) union select w from ({WL_PATHS}) union select w from ({WL_PARAMS}) union select w from ({WL_DOMAINS}) union select w from ({WL_DIRS})")
 def wordlist_all(spark, sf_dir):
-    out = _wl_endpoints(spark, sf_dir)
-    for f in (_wl_paths, _wl_params, _wl_domains, _wl_dirs):
-        out = out.union(f(spark, sf_dir))
-    return out.distinct()
+    all_ = _words(spark, sf_dir, endpoint_words, path_words, param_words, domain_words, dir_words)
+    return all_.union(_named_domains(spark, sf_dir)).distinct()
 
 
 @query(f"select fid, case when regexp_matches(lower(q), '(^|&)(token|access_token|api_key|apikey|auth|key)=') then 'apikey' when method in ('PUT', 'DELETE') then 'bearer' else 'none' end auth, case when regexp_matches(lower(q), '(^|&)(token|access_token|api_key|apikey|auth|key)=') then 'query' when method in ('PUT', 'DELETE') then 'header' else '' end place from (select fid, method, {QUERY} q from (select *, value u from ({ENDPOINTS})))")
