@@ -87,12 +87,16 @@ def url_dedup(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(U.dedup_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
 
 
-PREFIX = f"""case when regexp_extract(p, '^(/(?:api|v[0-9]+|rest|graphql)[^/]*)', 1) <> '' then regexp_extract(p, '^(/(?:api|v[0-9]+|rest|graphql)[^/]*)', 1)
-  else regexp_extract(p, '^(/[a-zA-Z0-9_-]+)', 1) end"""
-PREFIX_PATH = f"case when {HAS_HOST} then case when {PATH} = '' then '/' else {PATH} end else u end p"
+def prefix_sql(p: str) -> str:
+    known = f"regexp_extract({p}, '^(/(?:api|v[0-9]+|rest|graphql)[^/]*)', 1)"
+    return f"case when {known} <> '' then {known} else regexp_extract({p}, '^(/[a-zA-Z0-9_-]+)', 1) end"
 
 
-@query(f"select prefix, count(*) n, min(page_id) first_page from (select page_id, {PREFIX} prefix from (select page_id, {PREFIX_PATH} from (select page_id, href u from ({LINKS})))) where prefix <> '' group by prefix having count(*) >= 2")
+PREFIX = prefix_sql("p")
+PREFIX_PATH = f"case when {HAS_HOST} then case when {PATH} = '' then '/' else {PATH} end else u end"
+
+
+@query(f"select prefix, count(*) n, min(page_id) first_page from (select page_id, {PREFIX} prefix from (select page_id, {PREFIX_PATH} p from (select page_id, href u from ({LINKS})))) where prefix <> '' group by prefix having count(*) >= 2")
 def prefix_cluster(spark, sf_dir):
     links = _links(spark, sf_dir).select("page_id", U.api_prefix(F.col("href")).alias("prefix")).filter("prefix <> ''")
     return links.groupBy("prefix").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n >= 2")
@@ -151,7 +155,7 @@ def functionality_cluster(spark, sf_dir):
 
 
 @query(
-    f"""with e as (select fid, {ORIGIN} origin, {PREFIX.replace('p,', 'pp,')} prefix, {AREA_SQL} area from (select fid, u, {TOKENS_SQL} tokens, {PREFIX_PATH.replace(' p', ' pp') if False else PREFIX_PATH[:-2] + ' pp'} from (select fid, value u from ({ENDPOINTS})))),
+    f"""with e as (select fid, {ORIGIN} origin, {prefix_sql('pp')} prefix, {AREA_SQL} area from (select fid, u, {TOKENS_SQL} tokens, {PREFIX_PATH} pp from (select fid, value u from ({ENDPOINTS})))),
     c as (select 'base_url:' || origin cluster, fid, 1 rank from e where origin <> '' union all select 'prefix:' || prefix, fid, 2 from e where prefix <> '' union all select 'func:' || area, fid, 3 from e where area is not null),
     big as (select cluster from c group by cluster having count(*) >= 2)
     select fid, arg_min(cluster, rank) cluster from c join big using (cluster) group by fid"""
@@ -177,7 +181,10 @@ def first_cluster_assignment(spark, sf_dir):
 JS_PATTERNS = (r"\.(js|mjs|cjs|jsx)$", r"/static/js/[^/]+\.js", r"/_next/static/chunks/[^/]+\.js", r"\.(chunk|bundle)\.(js|mjs|cjs)$", r"/(chunk|bundle)[-.][a-z0-9_.-]*\.(js|mjs|cjs)$", r"/assets/.*\.[a-f0-9]+\.js")
 
 
-@query(f"select fid, {' or '.join(f'regexp_matches(lower({PATH}), {p!r})' for p in (x.replace(chr(92) * 2, chr(92)) for x in JS_PATTERNS))} is_js from (select fid, value u from ({ENDPOINTS}))".replace("\\\\", "\\"))
+JS_SQL = " or ".join(f"regexp_matches(lower({PATH}), '{p}')" for p in JS_PATTERNS)
+
+
+@query(f"select fid, {JS_SQL} is_js from (select fid, value u from ({ENDPOINTS}))")
 def js_url_predicate(spark, sf_dir):
     p = F.lower(U.path(F.col("value")))
     hit = F.lit(False)
