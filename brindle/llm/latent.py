@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the benchmark's words. One pass counts in how many documents each occurs; terms in more than
-   ``MAX_DF`` of them go, but each item keeps its ``KEEP_TERMS`` rarest.
+1. Terms are the benchmark's words. One pass writes each document as term numbers, and the document frequency
+   of each term is counted; terms in more than ``MAX_DF`` of all documents go, but each item keeps its
+   ``KEEP_TERMS`` rarest.
 2. A second pass takes every passage of every document as a TF-IDF row ``a`` over these terms and sums
    ``a' (a G)`` for a seeded Gaussian ``G``: a randomised SVD of the passage matrix A in one pass, by the
    Nystroem form of ``A'A``. Partial sums are added over blocks of terms on the executors; only terms by
@@ -34,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WORD, Memo, filter_rows, map_rows, per_process
+from .common import WORD, Memo, Tables, filter_rows, map_rows, per_process
 
 BLOCK = 16
 SCALES = (2, 3, 5)  # blocks in a passage; one of b blocks holds any (b - 1) * BLOCK words whole
@@ -96,38 +98,56 @@ class Items:
         return cls(ids, words, vocab)
 
 
-def _numbers(vocab: dict[str, int], key: tuple) -> Memo:
-    """Raw word -> term number, -1 for a word that is no term, -2 for one without letters or digits."""
+#: The column of term numbers that the first pass adds.
+IDS = "_term_ids"
 
-    def number(w: str) -> int:
-        t = term_of(w)
-        return vocab.get(t, -1) if t else -2
 
-    return per_process(("latent", key), lambda: Memo(number, 300_000))
+def numbered(docs: DataFrame, items: Items, tables: Tables, text: str = "text", drop: tuple = ()) -> DataFrame:
+    """``docs`` with the term number of each word (-1: no term of the block), written to the shared folder. Texts are
+    cut into words once; the passes after this one read numbers alone."""
+    held, key = docs.sparkSession.sparkContext.broadcast(items.vocab), _key(items)
+    kind = _kind(items)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = held.value
 
-def _term_ids(text: str | None, numbers: Memo) -> np.ndarray:
-    words = WORDS.findall(text or "")
-    x = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-    return x[x > -2]
+        def number(w: bytes) -> int:
+            t = term_of(w.decode("utf-8", "replace"))
+            return vocab.get(t, -1) if t else -2
 
+        memo = per_process(("latent-numbers", key), lambda: Memo(number, 300_000))
+        for batch in batches:
+            out = []
+            for t in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist():
+                words = (t or b"").split()  # bytes split at ASCII white space alone
+                x = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
+                out.append(x[x > -2].astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, IDS])
 
-def document_frequency(docs: DataFrame, items: Items, text: str = "text") -> tuple[int, np.ndarray]:
-    held, key = docs.sparkSession.sparkContext.broadcast(items.vocab), _key(items)
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(IDS, BinaryType())]))
+    return tables.write(out.drop(*drop), "numbered")
+
+
+def _kind(items: Items) -> str:
+    return "<i2" if len(items.vocab) < 1 << 15 else "<i4"
+
+
+def document_frequency(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many each term occurs. ``docs``: numbered."""
+    terms, kind = len(items.vocab), _kind(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, df, n = _numbers(held.value, key), np.zeros(len(held.value), np.int64), 0
+        df, n = np.zeros(terms + 1, np.int64), 0  # what is no term counts at the end
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                x = np.unique(_term_ids(t, numbers))
-                df[x[x >= 0]] += 1
+            for b in batch.column(0).to_pylist():
+                df[np.unique(np.frombuffer(b, kind))] += 1
                 n += 1
-        term = np.append(np.flatnonzero(df), -1)
+        term = np.append(np.flatnonzero(df[:-1]), -1)
         yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(np.append(df[term[:-1]], n))], names=["term", "n"])
 
-    out = np.zeros(len(items.vocab), np.int64)
+    out = np.zeros(terms, np.int64)
     total = 0
-    for term, n in docs.select(text).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
+    for term, n in docs.select(IDS).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
         if term < 0:
             total = n
         else:
@@ -201,15 +221,14 @@ def _row_sums(block: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray, text: str = "text") -> np.ndarray:
-    """Leading right singular vectors (terms by rank) of the TF-IDF matrix of all passages."""
-    spark = docs.sparkSession
-    held, key, terms = spark.sparkContext.broadcast((items.vocab, weight)), _key(items), len(items.vocab)
+def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors (terms by rank) of the TF-IDF matrix of all passages. ``docs``: numbered."""
+    terms, kind = len(items.vocab), _kind(items)
+    held = docs.sparkSession.sparkContext.broadcast(weight)
     per = 8  # terms in a row of partial sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, w = held.value
-        numbers, g = _numbers(vocab, key), _gaussian(terms)
+        w, g = held.value, _gaussian(terms)
         z = np.zeros(g.shape, np.float64)
 
         def take(chunk: Chunk) -> None:
@@ -225,8 +244,8 @@ def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray, text: st
 
         chunk = Chunk.empty()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                chunk.add(_term_ids(t, numbers), 0)
+            for b in batch.column(0).to_pylist():
+                chunk.add(np.frombuffer(b, kind), 0)
                 if chunk.blocks >= CHUNK:
                     take(chunk)
                     chunk = Chunk.empty()
@@ -248,7 +267,7 @@ def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray, text: st
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["part", "sums"])
 
     schema = "part int, sums binary"
-    summed = docs.select(text).mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
+    summed = docs.select(IDS).mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
     g = _gaussian(terms).astype(np.float64)
     z = np.zeros((-(-terms // per) * per, g.shape[1]))
     for k, blob in summed.collect():  # terms by rank numbers
@@ -344,23 +363,22 @@ SCHEMA = "doc_id long, n_items long, item_ids string, best_share double, contami
 
 
 class Searcher:
-    """Finds a block's items in texts, in a worker. Fitting it takes two passes over all documents."""
+    """Finds a block's items in numbered documents, in a worker. Fitting it takes two passes over all of them."""
 
-    def __init__(self, docs: DataFrame, items: Items, text: str):
-        total, df = document_frequency(docs, items, text)
+    def __init__(self, docs: DataFrame, items: Items):
+        total, df = document_frequency(docs, items)
         weight = weights(items, total, df)
-        basis = singular_vectors(docs, items, weight, text)
+        basis = singular_vectors(docs, items, weight)
         self.held = docs.sparkSession.sparkContext.broadcast((items, weight, basis, df))  # of bounded size: see BENCHMARK_BYTES
-        self.key, self.number = _key(items), uuid.uuid4().hex
+        self.number, self.kind = uuid.uuid4().hex, _kind(items)
 
-    def __call__(self, texts: list) -> Iterator[tuple[list, float]]:
-        """Items found in each text, ascending, and the best share."""
-        m = per_process(("matcher", self.number), lambda: Matcher(*self.held.value))
-        numbers = _numbers(m.items.vocab, self.key)
+    def __call__(self, ids: list[bytes]) -> Iterator[tuple[list, float]]:
+        """Items found in each document, ascending, and the best share."""
+        m = per_process(("latent-matcher", self.number), lambda: Matcher(*self.held.value))
         chunk = Chunk.empty()
-        for end, t in enumerate(texts, 1):
-            chunk.add(_term_ids(t, numbers), LONG)
-            if chunk.blocks >= CHUNK or end == len(texts):
+        for end, b in enumerate(ids, 1):
+            chunk.add(np.frombuffer(b, self.kind), LONG)
+            if chunk.blocks >= CHUNK or end == len(ids):
                 for best in m.hits(chunk):
                     yield sorted({m.items.ids[k] for k in best}), max(best.values(), default=0.0)
                 chunk = Chunk.empty()
@@ -369,13 +387,15 @@ class Searcher:
 def _search(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
     if not items.words:
         return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("item_ids"), F.lit(0.0).alias("best_share"), F.lit(False).alias("contaminated"))
-    search = Searcher(docs, items, text)
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ready = numbered(narrow, items, Tables(docs.sparkSession, "latent"), drop=("text",))
+    search = Searcher(ready, items)
 
-    def rows(ids, texts):
-        for i, (found, best) in zip(ids, search(texts), strict=True):
+    def rows(ids, terms):
+        for i, (found, best) in zip(ids, search(terms), strict=True):
             yield i, len(found), ",".join(map(str, found)), best, bool(found)
 
-    return map_rows(docs, [doc_id, text], rows, SCHEMA)
+    return map_rows(ready, ["doc_id", IDS], rows, SCHEMA)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
@@ -409,6 +429,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     out = docs
     for items in item_blocks(benchmark):
         if items.words:
-            search = Searcher(docs, items, text)
-            out = filter_rows(out, [text], lambda texts, search=search: [not found for found, _ in search(texts)])
+            ready = numbered(out, items, Tables(docs.sparkSession, "latent"), text)
+            search = Searcher(ready, items)
+            out = filter_rows(ready, [IDS], lambda ids, search=search: [not found for found, _ in search(ids)]).drop(IDS)
     return out
