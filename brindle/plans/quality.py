@@ -76,12 +76,12 @@ def confusion(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy("lang", "label", "guess").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-@query("select r.r_name region, sum(o.o_totalprice) total, count(distinct c.c_custkey) customers from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by r.r_name")
+@query("select r.r_name region, sum(round(o.o_totalprice * 100)::bigint)::bigint cents, count(distinct c.c_custkey) customers from orders o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey group by r.r_name")
 def region_totals(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     dim = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy(F.col("r_name").alias("region")).agg(F.sum("o_totalprice").alias("total"), F.countDistinct("c_custkey").alias("customers"))
+    return j.groupBy(F.col("r_name").alias("region")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.countDistinct("c_custkey").alias("customers"))
 
 
 @query("select p_brand, p_partkey, p_retailprice from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) r from part) where r <= 3")

@@ -33,11 +33,11 @@ def rate_limit_adaptive(spark, sf_dir):
     return limits.adaptive_batch(table(spark, sf_dir, "events"))
 
 
-@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, sum(value) total from events group by 1, 2")
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, sum(round(value * 100)::bigint)::bigint cents from events group by 1, 2")
 def hourly_counts(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return g.select(F.col("w.start").alias("start"), "event_type", "n", "cents")
 
 
 @query("""with g as (select user_id, ts, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) < 1800000000 then 0 else 1 end new from events),
