@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -75,11 +77,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 #: Per worker process: memos outlive a task when Spark reuses the worker.
@@ -87,18 +92,36 @@ _PER_PROCESS: dict = {}
 
 
 def per_process(key, make: Callable):
-    """The value ``make`` gave for ``key`` in this process. Of keys that are tuples with one first part only the latest stays."""
+    """The value ``make`` gave for ``key`` in this process.
+
+    A key is a name or a tuple (name, version ...); of one name only the latest version stays. The part of a
+    name before its first dash is the operator: when another operator asks, the values of the last one go, so
+    a worker that serves several stages holds the memos of one."""
     name, version = (key[0], key[1:]) if isinstance(key, tuple) else (key, ())
     if name not in _PER_PROCESS or _PER_PROCESS[name][0] != version:
+        operator = name.partition("-")[0]
+        if gone := [n for n in _PER_PROCESS if n != "shared" and n.partition("-")[0] != operator]:
+            for n in gone:
+                del _PER_PROCESS[n]
+            _give_back()
         _PER_PROCESS[name] = version, make()
     return _PER_PROCESS[name][1]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = per_process("shared", lambda: "file://" + tempfile.mkdtemp(prefix="brindle-"))
+        if "shared" not in _PER_PROCESS:
+            _PER_PROCESS["shared"] = (), "file://" + tempfile.mkdtemp(prefix="brindle-")
+        path = _PER_PROCESS["shared"][1]
     return path.rstrip("/")
 
 
