@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_CHARS, SPACES
+from .bpe import MEMO_CHARS
 from .common import Memo, Tables, map_rows, per_process
 
 MAGIC = b"BRP1"
@@ -165,6 +165,41 @@ class Shard:
         return self.read(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+class WordIds:
+    """Ids of texts by the tokenizers library, word by word (see bpe for why a text may be cut at ASCII white
+    space). New words are encoded many at a time, with a special token between them; a bounded memo keeps them."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_str(spec)
+        special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.mark, self.mark_id = next(iter(special.items())) if special else (None, -1)
+        self.marks = [m.encode() for m in special]
+        self.memo = Memo(self.one, 500_000)
+
+    def one(self, word: bytes) -> bytes:
+        return np.array(self.lib.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        text = self.mark.join(w.decode("utf-8", "replace") for w in words)
+        ids = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2")
+        cuts = np.flatnonzero(ids == self.mark_id).tolist()
+        data = ids.tobytes()
+        for w, a, b in zip(words, [-1, *cuts], [*cuts, len(ids)], strict=True):
+            self.memo.put(w, data[2 * a + 2 : 2 * b])
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        lists = [(t or b"").split() for t in texts]  # bytes split at ASCII white space alone
+        new = set().union(*lists).difference(self.memo, self.memo.old) if self.mark else ()
+        # a word that holds "<" could meet the mark's text at an edge
+        new = [w for w in new if len(w) <= MEMO_CHARS and b"<" not in w and b">" not in w]
+        for at in range(0, len(new), 1000):
+            self._learn(new[at : at + 1000])
+        memo, one = self.memo, self.one
+        return [b"".join([memo[w] if len(w) <= MEMO_CHARS else one(w) for w in ws]) if ws and max(map(len, ws)) > MEMO_CHARS else b"".join(map(memo.__getitem__, ws)) for ws in lists]
+
+
 WRITTEN = "shard long, n_ids long, n_docs long, blob binary"
 
 
@@ -173,18 +208,11 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
     held = docs.sparkSession.sparkContext.broadcast(spec)  # the vocabulary file; its size does not follow the data
     key = zlib.crc32(spec.encode())
 
-    def make():
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_str(held.value)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = per_process(("library", key), make)
-        terminals = lib.get_vocab_size()
+        words = per_process(("repair-words", key), lambda: WordIds(held.value))
+        terminals = words.lib.get_vocab_size()
         if terminals + PER_ROUND > 65536 or end_id >= terminals:
             raise ValueError("ids do not fit the format")
-        encode = lambda w: np.array(lib.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
-        memo = per_process(("library-words", key), lambda: Memo(encode))
         end = np.array([end_id], "<u2").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[int] = []
@@ -203,21 +231,21 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
             return out
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # a text may be encoded word by word: see bpe, and the tests against whole texts
-                doc = b"".join([memo[w] if len(w) <= MEMO_CHARS else encode(w) for w in SPACES.findall(t or "")]) + end
-                ids.append(NO_ID if i is None else i)
-                data.append(doc)
-                size += len(doc) // 2
-                ends.append(size)
-                if size >= shard_ids:
-                    yield flush()
-                    ids, ends, data, size = [], [], [], 0
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                for i, doc in zip(few.column(0).to_pylist(), words.encode(few.column(1).to_pylist()), strict=True):
+                    ids.append(NO_ID if i is None else i)
+                    data.append(doc + end)
+                    size += len(doc) // 2 + 1
+                    ends.append(size)
+                    if size >= shard_ids:
+                        yield flush()
+                        ids, ends, data, size = [], [], [], 0
         if ids:
             yield flush()
 
     (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, WRITTEN)
