@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Memo, map_rows, per_process
 
@@ -65,8 +66,8 @@ class Merges:
             self.rank.setdefault((a, b), i)
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
         self._trees: dict[str, tuple | None] = {}
-        self._pairs = Memo(lambda p: self._compatible(*p), 400_000)
-        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 400_000)
+        self._pairs = Memo(lambda p: self._compatible(*p), 200_000)
+        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 300_000)
         self._lookahead: int | None = None
         self._good: dict[str, int] | None = None
         self._lengths: dict = {}  # by the last two symbols of a token: lengths of such tokens, longest first
@@ -344,18 +345,19 @@ def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "tex
 
     def rows(ids, texts):
         bpe = per_process(("bpe", key), lambda: WordBpe(held.value))
-        memo = per_process(("bpe-words", key), lambda: Memo(lambda w: " ".join(map(str, bpe.encode_word(w)))))
+        ids_of = lambda w: " ".join(map(str, bpe.encode_word(w.decode("utf-8", "replace"))))
+        memo = per_process(("bpe-words", key), lambda: Memo(ids_of, 400_000))
         names = per_process(("bpe-names", key), lambda: {str(i): t for i, t in bpe.tokens.items()})
         for i, t in zip(ids, texts, strict=True):
             n, sha_ids, sha_text = 0, hashlib.sha256(), hashlib.sha256()
             decoder = IdDecoder(names, bpe.end)
-            words = SPACES.findall(t or "")
+            words = (t or b"").split()  # bytes split at ASCII white space alone
             for at in range(0, len(words), CHUNK_WORDS):
                 chunk = words[at : at + CHUNK_WORDS]
                 if max(map(len, chunk)) <= MEMO_CHARS:
                     out = " ".join(filter(None, map(memo.__getitem__, chunk)))
                 else:
-                    out = " ".join(filter(None, (memo[w] if len(w) <= MEMO_CHARS else " ".join(map(str, bpe.encode_word(w))) for w in chunk)))
+                    out = " ".join(filter(None, (memo[w] if len(w) <= MEMO_CHARS else ids_of(w) for w in chunk)))
                 if out:
                     got = out.split(" ")
                     sha_ids.update((" " + out if n else out).encode())
@@ -363,4 +365,4 @@ def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "tex
                     n += len(got)
             yield i, n, sha_ids.hexdigest(), sha_text.hexdigest()
 
-    return map_rows(docs, [doc_id, text], rows, SCHEMA)
+    return map_rows(docs.select(doc_id, F.col(text).cast("binary").alias(text)), [doc_id, text], rows, SCHEMA)
