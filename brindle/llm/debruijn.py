@@ -55,11 +55,18 @@ def word_hashes(words: list[str]) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash of every ``size`` values in a row, modulo 2**64: runs of powers of two are joined."""
     n = len(h) - size + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out * _BASE + h[j : n + j]
-    return out
+    out, have, part, span = None, 0, h, 1
+    while True:
+        if size & span:
+            shift = np.uint64(pow(int(_BASE), span, 1 << 64))
+            out = part if out is None else out[:n] * shift + part[have : have + n]
+            have += span
+        if have == size:
+            return out[:n]
+        part = part[:-span] * np.uint64(pow(int(_BASE), span, 1 << 64)) + part[span:]
+        span *= 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
