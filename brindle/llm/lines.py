@@ -5,9 +5,10 @@ Lines (cut at line feeds) with at least one word take part; equal lines are one.
 (an empty bin borrows from another by a fixed sequence), and each band of rows is a key.
 
 Lines that share a key are candidates. Each is first held against the smallest of its key (its leader);
-what is verified is linked, and components are formed. Only where lines of one key are still in different
-components, all pairs between those components are verified too. So a key full of copies of one line costs
-one pair per line, not all pairs, and no candidate is left out. A pair is linked if the Jaccard similarity
+what is verified is linked, and components are formed. Where a key still holds lines of many different
+components, further leaders take their turns, which leaves few; then all pairs between the components of a
+key are verified too. So a key full of copies of one line costs a few pairs per line, not all pairs, and no
+candidate is left out. A pair is linked if the Jaccard similarity
 of the two sets is ``SIMILARITY`` or more, computed on the whole lines. Within a component only the first
 line by (doc_id, line number) stays.
 
@@ -39,6 +40,9 @@ BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
 #: Characters hashed at a time.
 CHUNK = 1 << 20
+#: Pairs between components of a key are all verified once they are at most so many for each line in question,
+#: or after so many further leaders.
+FEW, TURNS = 4, 6
 
 HAS_WORD = re.compile(WORD)
 _BINS = BANDS * ROWS
@@ -165,15 +169,25 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     texts = tables.write(_contents(docs, lines.join(first, "line").select("line", "at.*")), "texts")
     tables.free()
     links = tables.write(_verified(pairs, texts), "links")
-    roots = components(links, tables)
-    named = tables.write(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", "leader", F.coalesce("root", "line").alias("root")), "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    left = tables.write(named.join(mixed, "key"), "mixed")
-    across = (
-        left.alias("l").join(left.alias("r"), "key").filter("l.line < r.line and l.root <> r.root and l.line <> l.leader").select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
-    )
-    more = _verified(across.join(pairs, ["a", "b"], "left_anti"), texts)
-    return places, components(links.union(more), tables)
+    tried = pairs
+    for turn in range(TURNS + 1):
+        roots = components(links, tables)
+        named = tables.write(met.select("key", "line").join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), "named")
+        sizes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("n * n > own")
+        mixed = tables.write(named.join(sizes.select("key"), "key"), "mixed")
+        left, members = (sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)))).first()
+        if not left:
+            return places, roots
+        if turn == TURNS or left <= FEW * members:
+            break
+        # another leader for each key: what is near it joins its component, so few components are left
+        leader = mixed.groupBy("key").agg(F.min_by(F.struct("line", "root"), F.xxhash64("line", F.lit(turn))).alias("x")).select("key", F.col("x.line").alias("x"), F.col("x.root").alias("xr"))
+        more = mixed.join(leader, "key").filter("root <> xr").select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = tables.write(more, "more")
+        tried = tried.union(more)
+        links = tables.write(links.union(_verified(more, texts)), "links")
+    across = mixed.alias("l").join(mixed.alias("r"), "key").filter("l.line < r.line and l.root <> r.root").select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
+    return places, components(links.union(_verified(across.join(tried, ["a", "b"], "left_anti"), texts)), tables)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

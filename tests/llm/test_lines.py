@@ -71,6 +71,14 @@ def test_equals_brute_force(spark):
     assert got == want
 
 
+def test_further_leaders_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", 0)
+    monkeypatch.setattr(lines, "TURNS", 1)
+    docs = fixture(30, 9)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == brute(docs)
+
+
 def test_band_recall():
     """Pairs at the threshold share a band in at least 99 of 100 cases."""
     rnd = random.Random(1)
