@@ -9,8 +9,9 @@
    ``RANK`` numbers come to the driver, whatever the corpus.
 3. A third pass projects all passages onto the leading right singular vectors and compares them with all
    items. Passages of three lengths, each at a stride of one block, are held against items that fit in them.
-   Pairs with a cosine of ``COSINE`` or more whose passage reaches at least ``REACH`` along the item are
-   candidates.
+   An item that fits in none is looked for by overlapping parts that fit in the longest, and as a whole; any
+   of these makes it a candidate. Pairs with a cosine of ``COSINE`` or more whose passage reaches at least
+   ``REACH`` along the item (or part) are candidates.
 4. A candidate is verified on the words themselves: within one and a half times the item's length, the
    longest common subsequence covers ``COVER`` of the item, and at least half of the item's answer terms
    (its ``ANSWER`` rarest words) are there. A document with a verified item is contaminated.
@@ -42,6 +43,7 @@ from .common import WORD, Memo, Tables, filter_rows, map_rows, per_process
 BLOCK = 16
 SCALES = (2, 3, 5)  # blocks in a passage; one of b blocks holds any (b - 1) * BLOCK words whole
 LONG = SCALES[-1]
+FITS = (LONG - 1) * BLOCK  # words of the longest item that fits in a passage
 RANK, EXTRA = 128, 16
 MAX_DF = 0.05
 KEEP_TERMS = 8
@@ -159,13 +161,21 @@ def _key(items: Items) -> tuple:
     return len(items.vocab), hash(tuple(items.vocab)) & 0xFFFFFFFF
 
 
+def parts_of(words: list[int]) -> list[list[int]]:
+    """What an item is looked for by: itself, and if no passage holds it, its overlapping parts of ``FITS`` words as well."""
+    n = len(words)
+    starts = [*range(0, n - FITS, FITS // 2), n - FITS] if n > FITS else []
+    return [words, *(words[a : a + FITS] for a in starts)]
+
+
 def weights(items: Items, total: int, df: np.ndarray) -> np.ndarray:
-    """IDF of each term; zero for those that are too common to keep."""
+    """IDF of each term; zero for those that are too common to keep. Parts of long items keep their rarest as items do."""
     idf = np.log1p(total / np.maximum(df, 1))
     keep = df <= MAX_DF * total
     for ws in items.words:
-        for t in sorted(set(ws), key=lambda t: (df[t], t))[:KEEP_TERMS]:
-            keep[t] = True
+        for part in parts_of(ws):
+            for t in sorted(set(part), key=lambda t: (df[t], t))[:KEEP_TERMS]:
+                keep[t] = True
     return np.where(keep, idf, 0.0).astype(np.float32)
 
 
@@ -288,17 +298,19 @@ class Matcher:
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray, df: np.ndarray):
         self.items, self.weight = items, weight
         self.terms = basis * weight[:, None]
-        latent = np.stack([self.terms[w].sum(0) for w in items.words]) if items.words else np.zeros((0, basis.shape[1]), np.float32)
+        parts = [(k, part) for k, w in enumerate(items.words) for part in parts_of(w)]
+        item = np.array([k for k, _ in parts], np.int64)
+        latent = np.stack([self.terms[part].sum(0) for _, part in parts]) if parts else np.zeros((0, basis.shape[1]), np.float32)
         norm = np.linalg.norm(latent, axis=1)
         latent = latent / np.where(norm > 0, norm, 1)[:, None]
-        size = np.array([len(w) for w in items.words], np.int64)
+        size = np.array([len(part) for _, part in parts], np.int64)
         self.scales = []
         room = [(b - 1) * BLOCK for b in SCALES]
         for k, blocks in enumerate(SCALES):
             low, high = room[k - 1] if k else 0, room[k] if k + 1 < len(SCALES) else size.max(initial=0)
             at = np.flatnonzero((size > low) & (size <= high) & (norm > 0))
             if len(at):
-                self.scales.append((blocks, at, np.ascontiguousarray(latent[at].T), REACH * norm[at]))
+                self.scales.append((blocks, item[at], np.ascontiguousarray(latent[at].T), REACH * norm[at]))
         self.places = []
         for w in items.words:
             bits: dict[int, int] = {}
@@ -309,9 +321,13 @@ class Matcher:
 
     def verify(self, x: np.ndarray, a: int, b: int, k: int) -> float:
         """The largest share of item ``k`` that one and a half times its length of words hold in order, with at
-        least half of its answer, among words a to b and its length of words around them; 0 below ``COVER``."""
+        least half of its answer, among words a to b and its length of words around them (for items that fit in no
+        passage: up to twice as many); 0 below ``COVER``."""
         n, places, answer = len(self.items.words[k]), self.places[k], self.answers[k]
-        near = x[max(0, a - n) : b + n].tolist()
+        size = n + n // 2 + 1
+        # the passage may hold either end of a long item, and what is near then stands for the next passages too
+        before, after = (size, size + n // 2) if n > FITS else (n, n)
+        near = x[max(0, a - before) : b + after].tolist()
 
         def share(words: list[int]) -> float:
             have = set(words)
@@ -320,7 +336,6 @@ class Matcher:
             got = lcs(words, places, n) / n
             return got if got >= COVER else 0.0
 
-        size = n + n // 2 + 1
         if len(near) <= size or not share(near):
             return share(near)
         return max(share(near[at : at + size]) for at in range(0, len(near) - size + n // 4 + 1, max(1, n // 4)))
@@ -349,7 +364,8 @@ class Matcher:
         last: dict[tuple[int, int], int] = {}
         for t, a, b, k in self.candidates(chunk):
             # what surrounds a passage holds the next one too, if the item has a block of words
-            if len(self.items.words[k]) >= BLOCK and last.get((t, k)) == a - BLOCK:
+            n, seen = len(self.items.words[k]), last.get((t, k))
+            if n >= BLOCK and seen is not None and (0 <= a - seen <= n // 2 if n > FITS else a - seen == BLOCK):
                 continue
             last[t, k] = a
             if best[t].get(k, 0.0) < 1.0:

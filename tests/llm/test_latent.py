@@ -105,3 +105,33 @@ def test_odd_rows(spark):
     assert latent.find_leaks(empty_docs(spark), bench).count() == 0
     assert not any(r.contaminated for r in latent.find_leaks(odd_docs(spark), bench.limit(0)).collect())
     assert latent.clean(odd_docs(spark), bench).columns == odd_docs(spark).columns
+
+
+def test_long_items_are_found(spark):
+    """Whole copies of items of any length, and long ones of which a quarter of the words are others or a third in a row is missing."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice(["ba", "ko", "tri", "sel", "un", "mo", "ra", "vi", "est"]) for _ in range(rnd.randint(2, 5)))
+    sizes = [5, 64, 65, 100, 200, 250, 300, 400, 1000]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(sizes)]
+    docs, planted = [], set()
+    for i in range(270):
+        ws = [word() for _ in range(rnd.randint(50, 1500))]
+        if i % 3 == 0:
+            k = i // 3 % len(sizes)
+            own = items[k][1].split(" ")
+            kind = i // 27 % 3 if len(own) >= 100 else 0
+            if kind == 1:
+                for p in rnd.sample(range(len(own)), len(own) // 4):
+                    own[p] = word()
+            elif kind == 2:
+                del own[(p := rnd.randrange(len(own) * 2 // 3)) : p + len(own) // 3]
+            at = rnd.randrange(len(ws))
+            ws[at:at] = own
+            planted.add((i, k, kind))
+        docs.append((i, " ".join(ws)))
+    rows = latent.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, SCHEMA)).collect()
+    found = {(r.doc_id, int(k)) for r in rows for k in r.item_ids.split(",") if k}
+    want = {(i, k) for i, ks in brute(docs, items).items() for k in ks}
+    # copies that lack most of the item's answer are no leaks
+    assert found == want and want <= {(i, k) for i, k, _ in planted} and {(i, k) for i, k, kind in planted if not kind} <= found
+    assert sum(kind > 0 and (i, k) in found for i, k, kind in planted) >= 5
