@@ -35,8 +35,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{2,16384}\.[A-Za-z0-9_-]{10,4096}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{64,16384})-----END \1-----")
+# parts of any length, each a run up to what ends it, without steps back
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{10,}+")
+JWT_RUN = re.compile(r"eyJ[A-Za-z0-9_-]*+")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{64,}+)-----END \1-----")
 KEYID = re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Z0-9])")
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -120,10 +122,14 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         done = 0
         for at in sorted(set(starts)):
             # a match takes its text whether it passes the check or not
-            if at >= done and (m := pattern.match(text, at)):
+            if at < done:
+                continue
+            if m := pattern.match(text, at):
                 done = m.end()
                 if ok(m):
                     spans.append((kind, at, done))
+            elif pattern is JWT and (m := JWT_RUN.match(text, at)):
+                done = m.end()  # later hits of this run would fail alike
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

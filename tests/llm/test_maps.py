@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -64,6 +65,25 @@ def test_checked_kinds():
     assert secrets.find_spans(None) == secrets.find_spans("") == []
 
 
+def test_secrets_of_any_length():
+    """Tokens with a certificate chain in the header and long payloads, signatures and keys, each whole; many starts cost one scan."""
+    b64 = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    plain, chain = b64('{"alg":"HS256"}'), b64(json.dumps({"alg": "RS256", "x5c": ["M" * 1750, "N" * 1750]}))
+    long = b64(json.dumps({"sub": "x" * 20_000}))
+    assert len(chain) > 4096 and len(long) > 16384
+    for token in (f"{chain}.{plain}.{'a' * 342}", f"{plain}.{long}.{'a' * 43}", f"{plain}.{plain}.{'a' * 6000}", f"{chain}.{long}.{'a' * 6000}"):
+        assert [s for s in secrets.find_spans(f"x {token} y") if s[0] == "jwt"] == [("jwt", 2, 2 + len(token))]
+    pem = "-----BEGIN PRIVATE KEY-----\n" + base64.encodebytes(b"\x30" + b"x" * 20_000).decode() + "-----END PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in secrets.find_spans(pem)
+    # a run in other case first, a run too short, and one that is cut off
+    assert ("jwt", 3, 3 + len(f"{plain}.{plain}.{'a' * 20}")) in secrets.find_spans(f"eyj{plain}.{plain}.{'a' * 20}")
+    assert [s[:2] for s in secrets.find_spans(f"eyJab.{plain}.{plain}.{'a' * 20}") if s[0] == "jwt"] == [("jwt", 6)]
+    start = time.process_time()
+    assert not [s for s in secrets.find_spans("eyJ" * 200_000) if s[0] == "jwt"]
+    assert not [s for s in secrets.find_spans("eyJabcdefghijk." * 50_000 + "-----BEGIN PRIVATE KEY-----" * 20_000) if s[0] in ("jwt", "pem")]
+    assert time.process_time() - start < 20
+
+
 def test_secret_query(spark):
     rows = {r.doc_id: r for r in queries()["op1_secret_scan"](spark, SF).collect()}
     texts = texts_of(spark)
