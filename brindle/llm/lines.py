@@ -35,7 +35,8 @@ from .common import WORD, Tables, map_rows
 from .components import components
 from .debruijn import _mixed, rolling
 
-SHINGLE = 8
+#: Short, so that one changed character or word leaves short lines similar; long enough that unrelated long ones are not.
+SHINGLE = 4
 BANDS, ROWS = 12, 4
 SIMILARITY = 0.8
 #: Characters hashed at a time.

@@ -120,3 +120,33 @@ def test_signature_is_of_the_line_alone():
     xs = ["short", "a line of some length, to be sure", "é" * 40, "日本語の文章です。とても短い"]
     each = np.vstack([lines.signatures([x]) for x in xs])
     assert (lines.signatures(xs) == each).all()
+
+
+def test_small_edits_of_short_lines_go(spark):
+    """Of lines of 40 to 120 characters, copies with another character go, and most with another word where it is short
+    against the line; other lines stay."""
+    rnd = random.Random(4)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    distinct = sorted({x for t in texts if t for x in t.split("\n") if 40 <= len(x) < 120 and len(x.split(" ")) > 4})
+    # no two of them similar before the edits
+    base: list = []
+    for x in rnd.sample(distinct, len(distinct)):
+        s = lines.shingle_set(x)
+        if len(base) < 120 and not any(lines.similar(s, y, 0.5) for _, y in base):
+            base.append((x, s))
+    docs, kind = [], {}
+    for i, (x, _) in enumerate(base):
+        docs.append((i, x))
+        p = rnd.randrange(len(x))
+        docs.append((1000 + i, x[:p] + "#" + x[p + 1 :]))
+        kind[1000 + i] = "char"
+        if len(x) >= 80:
+            ws = x.split(" ")
+            ws[rnd.randrange(len(ws))] = "other"
+            docs.append((2000 + i, " ".join(ws)))
+            kind[2000 + i] = "word"
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    share = lambda k: sum(got[d] for d in kind if kind[d] == k) / max(1, sum(c == k for c in kind.values()))
+    assert len(base) >= 50 and sum(c == "word" for c in kind.values()) >= 10
+    assert not any(got[i] for i in range(len(base)))
+    assert share("char") >= 0.95 and share("word") >= 0.6
