@@ -66,8 +66,8 @@ class Merges:
             self.rank.setdefault((a, b), i)
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
         self._trees: dict[str, tuple | None] = {}
-        self._pairs = Memo(lambda p: self._compatible(*p), 200_000)
-        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 300_000)
+        self._pairs = Memo(lambda p: self._compatible(*p), 16 << 20)
+        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 24 << 20)
         self._lookahead: int | None = None
         self._good: dict[str, int] | None = None
         self._lengths: dict = {}  # by the last two symbols of a token: lengths of such tokens, longest first
@@ -346,7 +346,7 @@ def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "tex
     def rows(ids, texts):
         bpe = per_process(("bpe", key), lambda: WordBpe(held.value))
         ids_of = lambda w: " ".join(map(str, bpe.encode_word(w.decode("utf-8", "replace"))))
-        memo = per_process(("bpe-words", key), lambda: Memo(ids_of, 400_000))
+        memo = per_process(("bpe-words", key), lambda: Memo(ids_of, 56 << 20))
         names = per_process(("bpe-names", key), lambda: {str(i): t for i, t in bpe.tokens.items()})
         for i, t in zip(ids, texts, strict=True):
             n, sha_ids, sha_text = 0, hashlib.sha256(), hashlib.sha256()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,21 +62,34 @@ def filter_rows(df: DataFrame, columns: list[str], fn: Callable[..., Iterable[bo
     return df.mapInArrow(run, df.schema)
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of each word of all texts, the distinct words by number, words before each text and at the end).
+
+    Words lie between the six ASCII white-space characters; a null text has none. All in Arrow's own code."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
+    coded = words.filter(real).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), before
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
 
 class Memo(dict):
-    """A memo of ``compute(key)`` in two generations of at most ``cap`` entries each.
+    """A memo of ``compute(key)`` in two generations that hold at most ``budget`` bytes together.
 
-    When the young generation is full it becomes the old one, and the old one goes. Keys in use move
-    back to the young generation on their next use. Memory is bounded whatever the vocabulary.
+    When the young generation has its half it becomes the old one, and the old one goes. Keys in use move
+    back to the young generation on their next use. Memory is bounded whatever the vocabulary and however
+    large the values.
     """
 
-    def __init__(self, compute: Callable, cap: int = 200_000):
+    def __init__(self, compute: Callable, budget: int = 32 << 20):
         super().__init__()
-        self.compute, self.cap, self.old = compute, cap, {}
+        self.compute, self.half, self.held, self.old = compute, budget // 2, 0, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -81,11 +99,30 @@ class Memo(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.cap:
+        self.held += _bytes(key) + _bytes(value) + SLOT
+        if self.held > self.half and self:
             self.old = dict(self)
             self.clear()
+            self.held = _bytes(key) + _bytes(value) + SLOT
         self[key] = value
 
+    def put_all(self, values: dict, size: int) -> None:
+        """``values`` at once; ``size``: the bytes of their keys and values."""
+        self.held += size + SLOT * len(values)
+        if self.held > self.half and self:
+            self.old = dict(self)
+            self.clear()
+            self.held = size + SLOT * len(values)
+        self.update(values)
+
+
+#: Bytes of a dictionary for each entry, its empty places included.
+SLOT = 100
+
+
+def _bytes(x) -> int:
+    return getsizeof(x) + sum(map(_bytes, x)) if type(x) is tuple else getsizeof(x)
+
 
 #: Per worker process: memos outlive a task when Spark reuses the worker.
 _PER_PROCESS: dict = {}
@@ -116,21 +153,42 @@ def _give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own if driver and executors are
+    one process (tests); else an error, as no executor could read what another wrote."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "shared" not in _PER_PROCESS:
             _PER_PROCESS["shared"] = (), "file://" + tempfile.mkdtemp(prefix="brindle-")
         path = _PER_PROCESS["shared"][1]
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Folders of tables that results may still read; deleted when the driver ends.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_roots() -> None:
+    for path, spark in _ROOTS.items():
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
+
+
 class Tables:
-    """Tables written to the shared folder, to cut lineage; a lost executor loses none of their rows."""
+    """Tables written to the shared folder, to cut lineage; a lost executor loses none of their rows. An operator drops
+    what its result does not read; the rest goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS[self.root] = spark
 
     def path(self, label: str = "t") -> str:
         self.n += 1
@@ -143,13 +201,11 @@ class Tables:
         out._brindle_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_brindle_path", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in frames:
+            if path := getattr(df, "_brindle_path", None):
+                _delete(self.spark, path)
 
     def free(self) -> None:
         """Let Spark drop the shuffle files of frames that are no longer referenced, before the next stage fills the disk."""

@@ -50,7 +50,7 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    memo = per_process("word-hash", lambda: Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7), 400_000))
+    memo = per_process("word-hash", lambda: Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7), 48 << 20))
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 

@@ -159,7 +159,7 @@ class Rater:
 
     def __call__(self, texts: list, langs: list) -> Iterator[tuple]:
         v = per_process(("fertility", *self.paths), lambda: Vocabularies(*self.paths))
-        memo = per_process(("fertility-words", *self.paths), lambda: Memo(v.measure))
+        memo = per_process(("fertility-words", *self.paths), lambda: Memo(v.measure, 64 << 20))
         table = {k: Band(*b) for k, b in self.plain.items()}
         for t, g in zip(texts, langs, strict=True):
             t = t or ""

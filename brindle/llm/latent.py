@@ -117,7 +117,7 @@ def numbered(docs: DataFrame, items: Items, tables: Tables, text: str = "text",
             t = term_of(w.decode("utf-8", "replace"))
             return vocab.get(t, -1) if t else -2
 
-        memo = per_process(("latent-numbers", key), lambda: Memo(number, 300_000))
+        memo = per_process(("latent-numbers", key), lambda: Memo(number, 48 << 20))
         for batch in batches:
             out = []
             for t in batch.column(batch.schema.names.index(text)).cast(pa.binary()).to_pylist():

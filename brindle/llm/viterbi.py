@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]], doc_id: str =
 
     def rows(ids, texts):
         counter = per_process(("viterbi", len(held.value), held.value[-1]), lambda: Counter(held.value))
-        memo = per_process(("viterbi-memo", len(held.value), held.value[-1]), lambda: Memo(lambda w: counter.count(SPACE + w)))
+        memo = per_process(("viterbi-memo", len(held.value), held.value[-1]), lambda: Memo(lambda w: counter.count(SPACE + w), 64 << 20))
         for i, t in zip(ids, texts, strict=True):
             words = words_of(t or "")
             found = [memo[w] if len(w) <= MEMO_CHARS else counter.count(SPACE + w) for w in words]

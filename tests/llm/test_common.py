@@ -1,17 +1,24 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 from brindle.llm import common, debruijn
 
 
 def test_memo_is_bounded_and_right():
-    m, rnd = common.Memo(lambda k: k * 2, cap=50), random.Random(1)
+    budget = 20_000
+    m, rnd = common.Memo(lambda k: (k * 2, "x" * (k % 300)), budget), random.Random(1)
+
+    def size(d):
+        return sum(common._bytes(k) + common._bytes(v) + common.SLOT for k, v in d.items())
+
     for _ in range(5000):
         k = rnd.choice((rnd.randrange(20), rnd.randrange(10_000)))
-        assert m[k] == 2 * k
-        assert len(m) <= 50 and len(m.old) <= 50
-    assert m[7] == 14
+        assert m[k] == (2 * k, "x" * (k % 300))
+        assert size(m) <= budget // 2 and size(m.old) <= budget // 2
+    assert m[7][0] == 14
 
 
 def test_a_process_holds_the_values_of_one_operator(monkeypatch):
@@ -31,3 +38,11 @@ def test_rolling_is_the_polynomial():
         for j in range(size):
             want = want * debruijn._BASE + x[j : j + len(want)]
         assert (debruijn.rolling(x, size) == want).all()
+
+
+def test_split_words_at_ascii_white_space():
+    texts = ["a b  c", None, "", " \t\n", "x\x1cy\x85z\xa0w\x0bv\x0cu\r", "é a"]
+    index, words, before = common.split_words(pa.array(texts, pa.string()))
+    got = [[words[i] for i in index[a:b]] for a, b in zip(before, before[1:], strict=False)]
+    assert got == [re.findall(common.WORD, t or "") for t in texts]
+    assert common.split_words(pa.array([], pa.string()))[0].size == 0
