@@ -2,16 +2,17 @@
 
 Documents are ordered by doc_id over range partitions; each task encodes its documents and cuts them into
 shards of about ``SHARD_IDS`` ids (a document is never cut). In a shard, frequent pairs of neighbouring
-symbols are replaced by new symbols, again and again. A round replaces the ``PER_ROUND`` most frequent
-pairs at once rather than one; where hits overlap, every second one from the left is taken. A round counts
-all pairs of the shard exactly; rounds end when no pair pays for its rule.
+symbols are replaced by new symbols, again and again. A round counts all pairs of the shard exactly and
+replaces every pair that has at least ``SHARE`` of the most frequent one's uses, rather than that one alone;
+where hits overlap, every second one from the left is taken. Rounds end when no pair pays for its rule, or
+when all 65,536 codes of a symbol are given out.
 
 File format: a Parquet data set with one row per shard. ``blob`` is, little-endian: magic ``BRP1``; uint32
 number of terminals V, rules R, symbols S, documents D, step; uint64 number of ids; then uint16 left[R],
 uint16 right[R], uint32 length[R] (ids a rule expands to), uint16 symbols[S], uint64 mark[...] (ids before
 every step-th symbol), int64 doc_id[D], uint64 end[D] (ids of the shard up to each document's end). Rule r
 is symbol V + r. To read ids a to b, a search in ``mark`` gives a symbol at most ``step`` before a; lengths
-lead to the symbols that overlap a..b, and only these are expanded.
+lead to the symbols that overlap a..b, and only these are expanded. Documents are read back that way.
 
 Defined cases: a null or empty text has only the end id; a null doc_id sorts first and is kept; repeated
 rows each have their place, in the order of their text's hash; an empty table makes an empty data set.
@@ -19,6 +20,7 @@ rows each have their place, in the order of their text's hash; an empty table ma
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,38 +32,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_CHARS
-from .common import Memo, Tables, map_rows, per_process
+from .bpe import MEMO_CHARS, PLAIN, SPLIT, byte_chars
+from .common import Memo, Tables, map_rows, per_process, split_words
 
 MAGIC = b"BRP1"
 HEAD = struct.Struct("<4sIIIIIQ")
 NO_ID = -(1 << 63)
 SHARD_IDS = 1 << 21
-ROUNDS = 8
-PER_ROUND = 512
+#: A round takes the pairs with at least this share of the uses of the most frequent one.
+SHARE = 0.05
 #: A rule takes eight bytes, and each use saves one symbol of two.
 MIN_COUNT = 6
+#: Symbols are uint16.
+CODES = 1 << 16
+#: Pairs of a round at most, which bounds its lookup table; what is left waits for the next round.
+PER_ROUND = 4096
 STEP = 1024
+#: The stand-ins of bytes from 128 on; printable ASCII stands for itself.
+BYTE_CHARS = dict(enumerate(byte_chars()[128:], 128))
+#: Documents read back at a time.
+AT_ONCE = 64
+#: Texts encoded at a time.
+TEXTS = 5000
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, terminals: int, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: (symbols, left, right), all uint16."""
     a = ids.astype(np.uint16)
     lefts, rights, n_rules = [], [], 0
-    for _ in range(rounds):
-        room = min(per_round, 65536 - terminals - n_rules)
-        if len(a) < 2 or room <= 0:
-            break
+    while len(a) > 1 and terminals + n_rules < CODES:
         key = (a[:-1].astype(np.uint32) << 16) | a[1:]
         key.sort()
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         count = np.diff(np.append(edge, len(key)))
-        often = count >= MIN_COUNT
+        often = count >= max(MIN_COUNT, share * count.max())
         pairs, count = key[edge[often]], count[often]
         if not len(pairs):
             break
-        best = np.lexsort((pairs, -count))[:room]
-        pairs = pairs[best]
+        pairs = pairs[np.lexsort((pairs, -count))[: min(PER_ROUND, CODES - terminals - n_rules)]]
         left, right = (pairs >> 16).astype(np.uint16), (pairs & 0xFFFF).astype(np.uint16)
         # which rule a pair has, by the places of its two symbols among left and right parts
         row, col = np.zeros(65536, np.uint16), np.zeros(65536, np.uint16)
@@ -69,19 +77,27 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, per_round: i
         row[ul], col[ur] = np.arange(1, len(ul) + 1), np.arange(1, len(ur) + 1)
         table = np.zeros((len(ul) + 1, len(ur) + 1), np.uint16)
         table[row[left], col[right]] = np.arange(1, len(pairs) + 1)
-        hit = table[row[a[:-1]], col[a[1:]]]
-        pos = np.flatnonzero(hit)
+        x, y = row[a], col[a]
+        maybe = np.flatnonzero((x[:-1] > 0) & (y[1:] > 0))
+        hit = table[x[maybe], y[maybe + 1]]
+        pos, hit = maybe[hit > 0], hit[hit > 0]
         first = np.concatenate(([True], np.diff(pos) != 1))
         run = np.maximum.accumulate(np.where(first, np.arange(len(pos)), 0))
-        take = pos[(np.arange(len(pos)) - run) % 2 == 0]
+        every = (np.arange(len(pos)) - run) % 2 == 0
+        take, rule = pos[every], hit[every] - 1
+        # where neighbours take the places of a pair it may not pay now; it waits, but the first of a round never does
+        good = np.bincount(rule, minlength=len(pairs)) >= MIN_COUNT
+        good[0] |= not good.any()
+        code = (terminals + n_rules - 1 + np.cumsum(good)).astype(np.uint16)
+        take, rule = take[good[rule]], rule[good[rule]]
         b = a.copy()
-        b[take] = terminals + n_rules + hit[take].astype(np.uint32) - 1
+        b[take] = code[rule]
         keep = np.ones(len(a), bool)
         keep[take + 1] = False
         a = b[keep]
-        lefts.append(left)
-        rights.append(right)
-        n_rules += len(pairs)
+        lefts.append(left[good])
+        rights.append(right[good])
+        n_rules += int(good.sum())
     none = np.zeros(0, np.uint16)
     return a, np.concatenate(lefts or [none]), np.concatenate(rights or [none])
 
@@ -127,12 +143,22 @@ class Shard:
     def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All symbols' ids in one array, where each starts, and how many it has."""
         if self._flat is None:
-            v, out = self.terminals, []
-            for x, y in zip(self.left.tolist(), self.right.tolist(), strict=True):
-                out.append(np.concatenate([out[z - v] if z >= v else np.array([z], np.uint32) for z in (x, y)]))
-            flat = np.concatenate([np.arange(v, dtype=np.uint32), *out])
+            v = self.terminals
             size = np.concatenate([np.ones(v, np.int64), self.length.astype(np.int64)])
-            self._flat = flat, np.concatenate(([0], np.cumsum(size)[:-1])), size
+            start = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), np.uint32)
+            flat[:v] = np.arange(v)
+            depth = [0] * v
+            for x, y in zip(self.left.tolist(), self.right.tolist(), strict=True):
+                depth.append(1 + max(depth[x], depth[y]))
+            levels = np.array(depth[v:])
+            for d in range(1, int(levels.max(initial=0)) + 1):  # rules whose parts are all there
+                rule = np.flatnonzero(levels == d)
+                for part, at in ((self.left[rule], start[v + rule]), (self.right[rule], start[v + rule] + size[self.left[rule]])):
+                    n = size[part]
+                    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    flat[np.repeat(at, n) + within] = flat[np.repeat(start[part], n) + within]
+            self._flat = flat, start, size
         return self._flat
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -149,17 +175,12 @@ class Shard:
         b = min(b, self.n_ids)
         if a >= b:
             return np.zeros(0, np.uint32)
-        k = int(np.searchsorted(self.mark, a, "right")) - 1
         _, _, size = self._expansions()
-        at, first = int(self.mark[k]), k * self.step
-        while at + size[self.symbols[first]] <= a:
-            at += int(size[self.symbols[first]])
-            first += 1
-        end, last = at, first
-        while end < b:
-            end += int(size[self.symbols[last]])
-            last += 1
-        return self._expand(self.symbols[first:last])[a - at : b - at]
+        k, last = (int(np.searchsorted(self.mark, x, "right")) - 1 for x in (a, b - 1))
+        symbols = self.symbols[k * self.step : (last + 1) * self.step]
+        edge = np.concatenate(([0], np.cumsum(size[symbols]))) + int(self.mark[k])
+        first, end = int(np.searchsorted(edge, a, "right")) - 1, int(np.searchsorted(edge, b))
+        return self._expand(symbols[first:end])[a - int(edge[first]) : b - int(edge[first])]
 
     def document(self, k: int) -> np.ndarray:
         return self.read(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
@@ -167,37 +188,71 @@ class Shard:
 
 class WordIds:
     """Ids of texts by the tokenizers library, word by word (see bpe for why a text may be cut at ASCII white
-    space). New words are encoded many at a time, with a special token between them; a bounded memo keeps them."""
+    space). The distinct new words of a batch are encoded many at a time; a bounded memo keeps them.
+
+    Plain words (see bpe) need no more than their pieces between spaces: the library's model then ends each piece with
+    the end mark. All others are encoded one by one as whole texts."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_str(spec)
-        special = {t.content: i for i, t in self.lib.get_added_tokens_decoder().items() if t.special and not t.normalized}
-        self.mark, self.mark_id = next(iter(special.items())) if special else (None, -1)
-        self.marks = [m.encode() for m in special]
-        self.memo = Memo(self.one, 500_000)
-
-    def one(self, word: bytes) -> bytes:
-        return np.array(self.lib.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        text = self.mark.join(w.decode("utf-8", "replace") for w in words)
-        ids = np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2")
-        cuts = np.flatnonzero(ids == self.mark_id).tolist()
-        data = ids.tobytes()
-        for w, a, b in zip(words, [-1, *cuts], [*cuts, len(ids)], strict=True):
-            self.memo.put(w, data[2 * a + 2 : 2 * b])
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        lists = [(t or b"").split() for t in texts]  # bytes split at ASCII white space alone
-        new = set().union(*lists).difference(self.memo, self.memo.old) if self.mark else ()
-        # a word that holds "<" could meet the mark's text at an edge
-        new = [w for w in new if len(w) <= MEMO_CHARS and b"<" not in w and b">" not in w]
-        for at in range(0, len(new), 1000):
-            self._learn(new[at : at + 1000])
-        memo, one = self.memo, self.one
-        return [b"".join([memo[w] if len(w) <= MEMO_CHARS else one(w) for w in ws]) if ws and max(map(len, ws)) > MEMO_CHARS else b"".join(map(memo.__getitem__, ws)) for ws in lists]
+        rules = json.loads(spec)
+        end = rules["model"].get("end_of_word_suffix")
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.pieces = Tokenizer.from_str(json.dumps(rules))
+        self.is_end = np.zeros(CODES, bool)
+        for token, i in self.lib.get_vocab(with_added_tokens=False).items() if end else ():
+            self.is_end[i] = token.endswith(end)
+        self.by_pieces = bool(end)
+        self.memo = Memo(self.one, 96 << 20)
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        lists = [SPLIT.findall(w.lower()) for w in words]
+        text = " ".join([p for x in lists for p in x])
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(BYTE_CHARS)
+        ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.flatnonzero(self.is_end[ids])[np.cumsum([len(x) for x in lists]) - 1] + 1
+        data, cuts = ids.tobytes(), (2 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        got = list(map(self.memo.get, words))
+        fresh: dict[str, bytes] = {}
+        plain = []
+        for k in [k for k, x in enumerate(got) if x is None]:
+            w = words[k]
+            if (x := self.memo.old.get(w)) is not None:
+                got[k] = fresh[w] = x
+            elif self.by_pieces and len(w) <= MEMO_CHARS and "<" not in w and PLAIN.fullmatch(w):
+                plain.append(k)
+            else:
+                got[k] = x = self.one(w)
+                if len(w) <= MEMO_CHARS:
+                    fresh[w] = x
+        plain.sort(key=lambda k: words[k].isascii())
+        for at in range(0, len(plain), 500):
+            few = plain[at : at + 500]
+            for k, x in zip(few, self._plain([words[k] for k in few]), strict=True):
+                got[k] = fresh[words[k]] = x
+        size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
+        self.memo.put_all(fresh, size + 82 * len(fresh))
+        return got
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids before each text and at the end)."""
+        index, words, before = split_words(texts)
+        got = self._words(words)
+        size = np.array([len(x) for x in got], np.int32) // 2
+        flat, first = np.frombuffer(b"".join(got), "<u2"), np.cumsum(size, dtype=np.int32) - size
+        n = size[index]
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int32)))  # a batch has fewer than 2**31 ids
+        return flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)], ends[before]
 
 
 WRITTEN = "shard long, n_ids long, n_docs long, blob binary"
@@ -211,7 +266,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_process(("repair-words", key), lambda: WordIds(held.value))
         terminals = words.lib.get_vocab_size()
-        if terminals + PER_ROUND > 65536 or end_id >= terminals:
+        if terminals >= CODES or end_id >= terminals:
             raise ValueError("ids do not fit the format")
         end = np.array([end_id], "<u2").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
@@ -231,12 +286,13 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few = batch.slice(at, 256)
-                for i, doc in zip(few.column(0).to_pylist(), words.encode(few.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(at, TEXTS)
+                got, edge = words.encode(few.column(1))
+                for i, a, b in zip(few.column(0).to_pylist(), edge.tolist(), edge[1:].tolist(), strict=False):
                     ids.append(NO_ID if i is None else i)
-                    data.append(doc + end)
-                    size += len(doc) // 2 + 1
+                    data += [got[a:b].tobytes(), end]
+                    size += b - a + 1
                     ends.append(size)
                     if size >= shard_ids:
                         yield flush()
@@ -245,7 +301,7 @@ def write(docs: DataFrame, path: str, spec: str, end_id: int, doc_id: str = "doc
             yield flush()
 
     (
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .mapInArrow(run, WRITTEN)
@@ -262,10 +318,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def rows(shards, blobs):
         for s, blob in zip(shards, blobs, strict=True):
             shard = Shard(blob)
-            data, a = shard.ids().astype("<u4"), 0
-            for i, b in zip(shard.doc_ids.tolist(), shard.ends.tolist(), strict=True):
-                yield None if i == NO_ID else i, s, a, b - a, zlib.crc32(data[a:b])
-                a = b
+            ids, ends, a = shard.doc_ids.tolist(), shard.ends.tolist(), 0
+            for at in range(0, len(ids), AT_ONCE):
+                first, data = a, shard.read(a, ends[min(at + AT_ONCE, len(ids)) - 1]).astype("<u4")
+                for i, b in zip(ids[at : at + AT_ONCE], ends[at : at + AT_ONCE], strict=True):
+                    yield None if i == NO_ID else i, s, a, b - a, zlib.crc32(data[a - first : b - first])
+                    a = b
 
     docs = map_rows(files, ["shard", "blob"], rows, "doc_id long, shard long, local long, n_tokens long, ids_crc32 long")
     return docs.join(starts, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from brindle.llm import repair
@@ -29,6 +30,27 @@ def test_grammar_round_trip_and_random_access():
             a = b
 
 
+def test_rounds_end_when_no_pair_pays_or_codes_are_out():
+    rnd = np.random.default_rng(5)
+    for n, v in ((40_000, 300), (60_000, 65_500), (20_000, 2)):
+        ids = (rnd.zipf(1.3, n) % v).astype(np.uint16)
+        symbols, left, right = repair.compress(ids, v)
+        if v + len(left) < repair.CODES:
+            pairs = list(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True))
+            assert max(pairs.count(p) for p in set(pairs)) < repair.MIN_COUNT
+        uses = np.bincount(np.concatenate([symbols, left, right]), minlength=v + len(left))[v:]
+        assert len(left) and uses.min() >= 1
+
+
+def test_words_as_the_library_has_them():
+    lib, words = Tokenizer.from_str(_spec()), repair.WordIds(_spec())
+    texts = [r[1] for r in ODD] + ["a\x1cb\x85c\xa0d it's WE'LL <|endoftext|>x< >y 3.14 \x00z ÅÉß İſ don't", "é" * 300 + "'ll", " \t"]
+    for _ in range(2):
+        ids, edge = words.encode(pa.array(texts))
+        for t, a, b in zip(texts, edge, edge[1:], strict=False):
+            assert ids[a:b].tolist() == lib.encode(t or "", add_special_tokens=False).ids
+
+
 def check(rows, docs, lib):
     rows = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(d[0] for d in docs)
