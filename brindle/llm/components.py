@@ -3,7 +3,9 @@
 Edges are first thinned inside each partition by union-find (a spanning forest of what the partition
 holds keeps every component). Then rounds of large-star and small-star joins, each a pre-aggregated
 minimum and an equi-join, turn every component into a star around its smallest node. Each round is written
-to the shared folder, so a lost executor costs one round at most; nothing is collected to the driver.
+to the shared folder, so a lost executor costs one round at most; nothing is collected to the driver. Minima are
+written before they are joined back, so the adaptive skew join can split the links of a hub. Edges that one
+task may hold are stars after the thinning already.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Tables
 
 #: Edges a task thins at a time; memory of a task is bounded by it.
-FOREST_EDGES = 1_000_000
+FOREST_EDGES = 250_000
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -53,16 +55,20 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tables: Tables) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = tables.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    out = tables.write(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    tables.drop(least)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+def _small_star(edges: DataFrame, tables: Tables) -> DataFrame:
+    least = tables.write(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a")
-    return moved.select("a", F.col("m").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
+    out = tables.write(moved.select("a", F.col("m").alias("b")).union(moved.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "small")
+    tables.drop(least, edges)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -76,13 +82,17 @@ def components(edges: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
     ``edges``: two long columns, in any direction, loops and repeats allowed. Nodes without a row are
     roots. Raises if the rounds do not suffice (they are logarithmic in practice)."""
     a, b = edges.columns[:2]
-    ordered = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b")
-    now = tables.write(_forest(ordered).distinct(), "forest")
+    ordered = tables.write(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a > b"), "edges")
+    tasks = -(-ordered.count() // FOREST_EDGES)
+    now = tables.write(_forest(ordered.coalesce(1) if tasks < 2 else ordered).distinct(), "forest")
+    tables.drop(ordered)
+    if tasks < 2:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     mark = _mark(now)
     for _ in range(rounds):
         if not mark[0]:
             break
-        new = tables.write(_small_star(_large_star(now)), "stars")
+        new = _small_star(_large_star(now, tables), tables)
         tables.drop(now)
         now, before, mark = new, mark, _mark(new)
         if mark == before:

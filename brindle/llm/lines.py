@@ -4,17 +4,23 @@ Lines (cut at line feeds) with at least one word take part; equal lines are one.
 ``SHINGLE``-character runs (a shorter line is one run). One-permutation MinHash fills ``BANDS * ROWS`` bins
 (an empty bin borrows from another by a fixed sequence), and each band of rows is a key.
 
-Lines that share a key are candidates. Each is first held against the smallest of its key (its leader);
-what is verified is linked, and components are formed. Where a key still holds lines of many different
-components, further leaders take their turns, which leaves few; then all pairs between the components of a
-key are verified too. So a key full of copies of one line costs a few pairs per line, not all pairs, and no
-candidate is left out. A pair is linked if the Jaccard similarity
-of the two sets is ``SIMILARITY`` or more, computed on the whole lines. Within a component only the first
-line by (doc_id, line number) stays.
-
-Shuffles carry hashes; texts move by doc_id twice: to fetch the lines that are in candidate pairs, and to
-take lines out. Defined cases: null texts stay null and have no lines; blank lines always stay; rows that
-repeat doc_id and text are one document; ties of doc_id go by the text's hash; an empty table gives no rows.
+Lines that share a key are candidates, unless their signatures agree in less than ``AGREE`` of 64 bins, which a
+similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. Each
+line is first held against the smallest of its key (its leader); what is verified is linked, and components are
+formed. While keys still hold lines of many different components, further leaders take their turns. What is left
+of a key is joined with itself with the signatures in the join condition, so that of all its pairs only close ones
+come out. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
+is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, computed on the whole lines.
+Within a component only the first line by (doc_id, line number) stays.
+
+Keys are sorted by ranges of (key, line), so a key with a large share of all lines lies in many tasks; each reads its
+rows as a stream and has its own leader of such a key. First places and sizes are aggregates (combined before their
+shuffle) that are written and joined back, where the adaptive skew join splits large keys.
+
+Shuffles carry hashes. The lines of candidate pairs are fetched by a bit map of their hashes (of fixed size: at worst
+it holds nothing back), repeats combined before the shuffle; texts move by doc_id once, to take lines out. Memory: one batch of texts, or two lines with their shingles. Defined cases: null texts stay null
+and have no lines; blank lines always stay; rows that repeat doc_id and text are one document; ties of doc_id go
+by the text's hash; columns of any name pass; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +33,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,13 +42,22 @@ from .debruijn import _mixed, rolling
 
 #: Short, so that one changed character or word leaves short lines similar; long enough that unrelated long ones are not.
 SHINGLE = 4
-BANDS, ROWS = 12, 4
+#: A pair at the threshold shares no band with a probability of 0.4 %; six rows keep unlike lines of large corpora apart.
+BANDS, ROWS = 18, 6
 SIMILARITY = 0.8
-#: Characters hashed at a time.
-CHUNK = 1 << 20
-#: Pairs between components of a key are all verified once they are at most so many for each line in question,
-#: or after so many further leaders.
-FEW, TURNS = 4, 6
+#: Characters hashed at a time: what fits in a core's cache.
+CHUNK = 1 << 15
+#: Rows of keys in a batch.
+ROWS_OUT = 1 << 16
+#: Further leaders take turns while the components of keys make more pairs than this for each line, so many times at most.
+FEW, TURNS = 64, 6
+#: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
+MAP_BITS = 1 << 25
+#: Longs of a sketch, which has four bits of each of the first bins; the share of bins in which similar lines agree.
+SKETCH = 4
+AGREE = 0.6
+#: Hashes of lines that a task remembers, to send a repeated line's keys once.
+SEEN = 200_000
 
 HAS_WORD = re.compile(WORD)
 _BINS = BANDS * ROWS
@@ -58,12 +72,24 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One row of ``BANDS`` keys for each line."""
-    sizes = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
-    text = "".join(x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    h = _mixed(rolling(_mixed(points + np.uint64(1)), SHINGLE))
+def _points(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _padded(line: str) -> str:
+    return line if len(line) >= SHINGLE else line + "\0" * (SHINGLE - len(line))
+
+
+def _hashes(points: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``SHINGLE`` characters."""
+    return _mixed(rolling(_mixed(points + np.uint64(1)), SHINGLE))
+
+
+def _minima(lines: list[str]) -> np.ndarray:
+    """For each line the least hash of each bin."""
+    lines = [_padded(x) for x in lines]
+    sizes = np.array([len(x) for x in lines], np.int64)
+    h = _hashes(_points("".join(lines)))
     ends = np.cumsum(sizes)
     line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
     inside = np.arange(len(h)) + SHINGLE <= ends[line]
@@ -71,7 +97,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     sig = np.full(len(lines) * _BINS, _EMPTY)
     bins = ((h >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
     np.minimum.at(sig, line * _BINS + bins.astype(np.int64), h & np.uint64(0xFFFFFFFFFF))
-    sig = sig.reshape(len(lines), _BINS)
+    return sig.reshape(len(lines), _BINS)
+
+
+def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of ``BANDS`` keys and a sketch for each line. A line above ``CHUNK`` is hashed in overlapping pieces."""
+    step = CHUNK - SHINGLE + 1
+    cut = {k: [x[a : a + CHUNK] for a in range(0, len(x) - SHINGLE + 1, step)] for k, x in enumerate(lines) if len(x) > CHUNK}
+    sig = _minima([x if k not in cut else "" for k, x in enumerate(lines)])
+    for k, parts in cut.items():
+        sig[k] = np.min([_minima([p])[0] for p in parts], axis=0)
     own = sig.copy()
     for step in _BORROW:
         r, b = np.nonzero(sig == _EMPTY)
@@ -81,133 +116,297 @@ def signatures(lines: list[str]) -> np.ndarray:
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(ROWS):
         keys = keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS] + np.uint64(1)
-    return _mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    few = (sig[:, : 16 * SKETCH] & np.uint64(15)).reshape(-1, SKETCH, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return _mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.bitwise_or.reduce(few, axis=2)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(key, line) for each band of each line; lines that repeat within a batch once."""
+    """(key, line, sketch) for each band of each line; the sketch is with a line's first key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: list[str]) -> pa.RecordBatch:
-            keys = signatures(part).view(np.int64)
-            ids = np.repeat(np.fromiter(map(line_hash, part), np.int64, len(part)), BANDS)
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "line"])
+        seen: set[int] = set()
+        ids: list[int] = []
+        part: list[str] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            keys, sketch = (np.concatenate(x) for x in zip(*done, strict=True))
+            starts = np.repeat(np.arange(len(ids) + 1) * SKETCH, [1] + [BANDS] * len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sketch.view(np.int64).ravel()), mask=pa.array(np.tile(np.arange(BANDS) > 0, len(ids))))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.array(ids, np.int64), BANDS)), lists], names=["key", "line", "sketch"])
 
         for batch in batches:
-            part: list[str] = []
-            size = 0
-            for x in {x for t in batch.column(0).to_pylist() if t for x in t.split("\n") if HAS_WORD.search(x)}:
-                part.append(x)
-                size += len(x)
-                if size >= CHUNK:
-                    yield out(part)
-                    part, size = [], 0
-            if part:
-                yield out(part)
-
-    return docs.select("text").mapInArrow(run, "key long, line long")
-
-
-def shingle_set(line: str) -> frozenset:
-    return frozenset(line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1)))
+            for t in batch.column(0).to_pylist():
+                for x in t.split("\n") if t else ():
+                    if not HAS_WORD.search(x) or (i := line_hash(x)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(i)
+                    ids.append(i)
+                    part.append(x)
+                    size += len(x)
+                    if size >= CHUNK:
+                        done.append(signatures(part))
+                        part, size = [], 0
+                        if len(ids) * BANDS >= ROWS_OUT:
+                            yield out()
+                            ids, done = [], []
+        if part:
+            done.append(signatures(part))
+        if ids:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "key long, line long, sketch array<long>")
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, line, leader, edge) of keys with two lines or more; ``leader`` is the least line that the task has of the key.
+    A row with ``edge`` tells the leader of the first and of the last key of a task, which others may have more of."""
+    names = ["key", "line", "leader", "edge"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key, line, leader, edge=False):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line, pa.int64()), pa.array(leader, pa.int64()), pa.array([edge] * len(key), pa.bool_())], names=names)
 
-def similar(a: frozenset, b: frozenset, least: float = SIMILARITY) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        first = last = None  # (key, leader, line seen last) of the first key and of the one that may go on
+        waits = False  # the last key has one line so far, which is not out
+        for batch in batches:
+            key, line = (batch.column(c).to_numpy() for c in range(2))
+            if last:
+                key, line = np.append(last[0], key), np.append(last[2], line)
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+            key, line = key[new], line[new]
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(start, len(key)))
+            leader = line[start]
+            if last:
+                leader[0] = last[1]
+            out = np.repeat(size > 1, size)
+            if last and not waits:
+                out[0] = False  # was out with an earlier batch
+            if out.any():
+                yield rows(key[out], line[out], np.repeat(leader, size)[out])
+            waits = size[-1] == 1 and (len(size) > 1 or waits or not last)
+            last = key[-1], leader[-1], line[-1]
+            first = first or (key[0], leader[0])
+        if last:
+            yield rows(*([x[0], y[0]] for x, y in ((first[:1], last[:1]), (first[1:], last[1:]), (first[1:], last[1:]))), True)
+
+    ordered = keys.select("key", "line").repartitionByRange("key", "line").sortWithinPartitions("key", "line")
+    return ordered.mapInArrow(run, "key long, line long, leader long, edge boolean")
+
+
+def shingle_set(line: str) -> np.ndarray:
+    """The distinct shingles of a line, ascending; each is its characters, in 21 bits each."""
+    p = _points(_padded(line))
+    n = len(p) - SHINGLE + 1
+    both = np.empty(n, "u8,u8")
+    both["f0"], both["f1"] = (p[k : k + n] << np.uint64(21) | p[k + 1 : k + 1 + n] for k in (0, 2))
+    return np.unique(both)
+
+
+def _packed(line: str) -> np.ndarray | None:
+    """As ``shingle_set``, a long for each shingle, for lines whose characters have 16 bits at most; else None."""
+    p = _points(_padded(line))
+    if p.max() >> np.uint64(16):
+        return None
+    n = len(p) - SHINGLE + 1
+    x = p[:n].copy()
+    for k in range(1, SHINGLE):
+        x = x << np.uint64(16) | p[k : k + n]
+    return np.unique(x)
+
+
+def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    x, y = _packed(a), _packed(b)
+    if x is None or y is None:
+        x, y = shingle_set(a), shingle_set(b)
+    return _near(x, y, least)
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both)
+    both = np.sort(np.concatenate((x, y)))
+    both = int(np.count_nonzero(both[1:] == both[:-1]))
+    return both >= least * (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines that are similar."""
+    """The pairs (a, b) of lines that are similar. Rows come in the order of ``a``, whose shingles are held for the next."""
 
     def rows(a, b, ta, tb):
-        held: dict[int, frozenset] = {}
+        held: tuple = None, None
         for i, j, x, y in zip(a, b, ta, tb, strict=True):
-            if len(held) > 20_000:
-                held.clear()
-            for k, t in ((i, x), (j, y)):
-                if k not in held:
-                    held[k] = shingle_set(t)
-            if similar(held[i], held[j]):
+            if held[0] != i:
+                held = i, _packed(x)
+            other = _packed(y) if held[1] is not None else None
+            if _near(held[1], other) if other is not None else similar(x, y):
                 yield i, j
 
     left = texts.select(F.col("line").alias("a"), F.col("content").alias("ta"))
     right = texts.select(F.col("line").alias("b"), F.col("content").alias("tb"))
-    return map_rows(pairs.join(left, "a").join(right, "b"), ["a", "b", "ta", "tb"], rows, "a long, b long")
+    return map_rows(pairs.join(right, "b").join(left, "a"), ["a", "b", "ta", "tb"], rows, "a long, b long")
+
+
+def _has_word(line):
+    return F.octet_length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "content"))
-    return lines.select("doc_id", "th", "no", F.when(F.col("content").rlike(WORD), F.xxhash64("content")).alias("line"))
+    return lines.filter(_has_word("content")).select("doc_id", "th", "no", F.xxhash64("content").alias("line"))
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, content) of the places in ``wanted`` (line, doc_id, th, no): a distinct row for each line."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_list("no").alias("nos"))
-    found = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+    """(line, content) of the lines in ``wanted``."""
+
+    def at(line):
+        return F.pmod(line, F.lit(MAP_BITS))
+
+    def bit(line):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), at(line).bitwiseAND(F.lit(63)).cast("int"))
 
-    def rows(texts, nos):
-        for t, ns in zip(texts, nos, strict=True):
-            lines = t.split("\n")
-            for n in ns:
-                yield line_hash(lines[n]), lines[n]
+    bits = wanted.select(F.shiftright(at(F.col("line")), 6).alias("word"), bit(F.col("line")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("content")).filter(_has_word("content")).select(F.xxhash64("content").alias("line"), "content")
+    held = lines.join(F.broadcast(bits), F.shiftright(at(F.col("line")), 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit(F.col("line"))) != 0)
+    return held.select("line", "content").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
 
-    return map_rows(found, ["text", "nos"], rows, "line long, content string").dropDuplicates(["line"])
+
+class _Texts:
+    """Contents of lines, fetched from the documents when pairs ask for them."""
+
+    def __init__(self, docs: DataFrame, tables: Tables):
+        self.docs, self.tables, self.held = docs, tables, []
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        lines = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+        for t in self.held:
+            lines = lines.join(t, "line", "left_anti")
+        lines = self.tables.write(lines, "lines")
+        self.held.append(self.tables.write(_contents(self.docs, lines), "texts"))
+        self.tables.drop(lines)
+        self.tables.free()
+        every = self.held[0]
+        for t in self.held[1:]:
+            every = every.union(t)
+        return self.tables.write(_verified(pairs, every), "links")
 
 
 def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """(occurrences with their line, (node, root) of lines that are not their component's root). ``docs``: doc_id, text, th."""
-    places = tables.write(_occurrences(docs), "places")
-    by_key = W.partitionBy("key")
-    met = _keys(docs).withColumn("leader", F.min("line").over(by_key)).withColumn("last", F.max("line").over(by_key)).filter("leader < last")
-    met = tables.write(met.select("key", "line", "leader").distinct(), "met")
+    """(places of lines with a word, (node, root) of lines that are not their component's root). ``docs``: doc_id, text, th."""
+    keys = tables.write(_keys(docs), "keys")
+    table = tables.write(_shared(keys), "met")
+    met = table.select("key", "line")
+    wanted = met.select("line").distinct()
+    sketches = tables.write(keys.filter("sketch is not null").select("line", "sketch").dropDuplicates(["line"]).join(wanted, "line", "left_semi"), "sketches")
+    tables.drop(keys)
     tables.free()
-    pairs = tables.write(met.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct(), "pairs")
-    lines = met.select("line").distinct()
-    first = places.filter("line is not null").groupBy("line").agg(F.min(F.struct("doc_id", "th", "no")).alias("at"))
-    texts = tables.write(_contents(docs, lines.join(first, "line").select("line", "at.*")), "texts")
+    texts = _Texts(docs, tables)
+
+    edge = table.filter("edge").select("key", F.col("leader").alias("b"))  # two rows a task
+    between = edge.join(edge.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a < b").select("a", "b")
+    pairs = table.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(between).distinct()
+    tried = [tables.write(_close(pairs, sketches), "pairs")]
     tables.free()
-    links = tables.write(_verified(pairs, texts), "links")
-    tried = pairs
+    links = texts.verified(tried[0])
     for turn in range(TURNS + 1):
         roots = components(links, tables)
-        named = tables.write(met.select("key", "line").join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), "named")
+        named = tables.write(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), "named")
         sizes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("n * n > own")
-        mixed = tables.write(named.join(sizes.select("key"), "key"), "mixed")
-        left, members = (sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)))).first()
+        sizes = tables.write(sizes, "sizes")
+        left, members = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not left:
-            return places, roots
-        if turn == TURNS or left <= FEW * members:
             break
-        # another leader for each key: what is near it joins its component, so few components are left
-        leader = mixed.groupBy("key").agg(F.min_by(F.struct("line", "root"), F.xxhash64("line", F.lit(turn))).alias("x")).select("key", F.col("x.line").alias("x"), F.col("x.root").alias("xr"))
-        more = mixed.join(leader, "key").filter("root <> xr").select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = tables.write(more, "more")
-        tried = tried.union(more)
-        links = tables.write(links.union(_verified(more, texts)), "links")
-    across = mixed.alias("l").join(mixed.alias("r"), "key").filter("l.line < r.line and l.root <> r.root").select(F.col("l.line").alias("a"), F.col("r.line").alias("b")).distinct()
-    return places, components(links.union(_verified(across.join(tried, ["a", "b"], "left_anti"), texts)), tables)
+        last = turn == TURNS or left <= FEW * members
+        mixed = tables.write(named.join(sizes.select("key"), "key"), "mixed")
+        tables.drop(named, sizes)
+        if last:
+            more = _close_across(mixed, sketches)
+        else:
+            # another leader for each key: what is near it joins its component, so few components are left
+            leader = mixed.groupBy("key").agg(F.min_by(F.struct("line", "root"), F.xxhash64("line", F.lit(turn))).alias("x")).select("key", F.col("x.line").alias("x"), F.col("x.root").alias("xr"))
+            leader = tables.write(leader, "leader")
+            more = _close(mixed.join(leader, "key").filter("root <> xr").select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct(), sketches)
+        for t in tried:
+            more = more.join(t, ["a", "b"], "left_anti")
+        tried.append(tables.write(more, "more"))
+        tables.drop(mixed)
+        tables.free()
+        links = tables.write(links.union(texts.verified(tried[-1])), "links")
+        if last:
+            roots = components(links, tables)
+            break
+    tables.drop(table, sketches, *texts.held, *tried)
+    places = tables.write(_occurrences(docs), "places")
+    return places, roots
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all its columns; ``text`` without the lines that go, and n_lines and n_removed at the end."""
+def _may_be_similar(x: str, y: str):
+    """Whether the sketches in columns ``x`` and ``y`` agree in enough bins."""
+
+    def unlike(k: int):
+        z = F.col(x)[k].bitwiseXOR(F.col(y)[k])
+        z = z.bitwiseOR(F.shiftright(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftright(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    return sum((unlike(k) for k in range(SKETCH)), F.lit(0)) <= int((1 - AGREE) * 16 * SKETCH)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar."""
+    x, y = (sketches.select(F.col("line").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    return pairs.join(y, "b").join(x, "a").filter(_may_be_similar("sa", "sb")).select("a", "b")
+
+
+def _close_across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a key, in different components, that may be similar; each from its least shared key."""
+    by_line = mixed.groupBy("line", "root").agg(F.collect_set("key").alias("keys"))  # a line has ``BANDS`` keys
+    known = by_line.join(sketches, "line").select("line", "root", "keys", "sketch", F.explode("keys").alias("key"))
+    apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") < F.col("r.line")) & (F.col("l.root") != F.col("r.root"))
+    least = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
+    return known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least).select(F.col("l.line").alias("a"), F.col("r.line").alias("b"))
+
+
+def _removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Tables]:
+    """(d, h, gone): of each document that loses lines the numbers of these, by doc_id and the text's hash."""
     tables = Tables(docs.sparkSession, "lines")
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     places, roots = groups(narrow, tables)
-    rooted = places.filter("line is not null").join(roots, F.col("line") == F.col("node"), "left").withColumn("group", F.coalesce("root", "line"))
-    order = W.partitionBy("group").orderBy("doc_id", "th", "no")
-    gone = rooted.withColumn("rank", F.rank().over(order)).filter("rank > 1").select("doc_id", "th", "no").distinct()
-    # what goes from each document, as a list of numbers in order; documents that lose nothing have no row
-    by_doc = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.array_sort(F.collect_list("no")).alias("_gone"))
+    rooted = places.join(roots, F.col("line") == F.col("node"), "left")
+    rooted = tables.write(rooted.select(F.coalesce("root", "line").alias("group"), F.struct("doc_id", "th", "no").alias("at")), "rooted")
+    tables.drop(places, roots)
+    first = tables.write(rooted.groupBy("group").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
+    gone = rooted.join(first, "group").filter(~F.col("at").eqNullSafe(F.col("first"))).select("at.*").distinct()
+    by_doc = gone.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_list("no")).alias("gone"))
     by_doc = tables.write(by_doc, "gone")
+    tables.drop(rooted, first)
     tables.free()
-    joined = docs.withColumn("_th", F.xxhash64(text)).join(by_doc, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone")))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
-    cols = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*cols, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return by_doc, tables
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, text without the lines that go, n_lines, n_removed."""
+    by_doc, _ = _removed(docs, doc_id, text)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    joined = own.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return joined.select("doc_id", _left().alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+    """``docs`` with all its columns, ``text`` without the lines that go; ``n_chars`` names a column that follows the text."""
+    by_doc, _ = _removed(docs, doc_id, text)
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    joined = boxed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left").select("row", _left().alias("text"))
+    new = {text: F.col("text")} | ({n_chars: F.length("text").cast(docs.schema[n_chars].dataType)} if n_chars else {})
+    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def _left():
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
 
 
 @F.pandas_udf(StringType())

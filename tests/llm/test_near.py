@@ -24,16 +24,18 @@ def roots_of(edges, nodes):
     return {n: find(n) for n in nodes}
 
 
-def test_components_equal_union_find(spark):
+def test_components_equal_union_find(spark, monkeypatch):
     rnd = random.Random(2)
     edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(330)]
     edges += [(1000 + i, 1001 + i) for i in range(120)] + [(2000, 2000 + i) for i in range(300)] + [(5, 5), (1, 2), (2, 1)]
     nodes = {n for e in edges for n in e}
     df = spark.createDataFrame(edges, "x long, y long").repartition(5)
-    got = {r.node: r.root for r in components.components(df, Tables(spark, "t")).collect()}
     want = roots_of(edges, nodes)
-    assert {n: got.get(n, n) for n in nodes} == want
-    assert components.components(df.limit(0), Tables(spark, "t")).count() == 0
+    for one_task in (components.FOREST_EDGES, 20):
+        monkeypatch.setattr(components, "FOREST_EDGES", one_task)
+        got = {r.node: r.root for r in components.components(df, Tables(spark, "t")).collect()}
+        assert {n: got.get(n, n) for n in nodes} == want
+        assert components.components(df.limit(0), Tables(spark, "t")).count() == 0
 
 
 def brute_fp(text):
