@@ -4,6 +4,10 @@ Rows of each source are put in a seeded pseudo-random order and ranked; row ``r`
 rows gets the fractional rank ``(2r - 1) / 2n``. Sorting all rows by that fraction spreads every source
 evenly over the whole order, so equal cuts of it hold each source in proportion.
 
+With S sources, a source of n of all N rows has in each of k shards n / k rows, give or take 1 + (S + 1) * n / N: the
+rows before a cut are those of fractions up to some x, which each source has in proportion to half a row, so x
+itself is within S / 2N of the cut.
+
 Both rankings are done in buckets: rows of one source (or one range of fractions) are dealt over many
 buckets by a prefix of the sort key, ranked inside a bucket, and shifted by the counts of the buckets
 before. No window ever holds a whole source or the whole table, so a source with a third of all rows is
@@ -19,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 #: A bucket is the first three hex digits of the md5 for the shuffle within a source.
 HEX_DIGITS = 3
 #: Ranges of the fractional rank for the global order.
@@ -32,11 +38,13 @@ def _offsets(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def assign(
-    docs: DataFrame, shards: int = 8, seed: int = 42, doc_id: str = "doc_id", source: str = "source", text: str = "text"
+    docs: DataFrame, shards: int = 8, seed: int = 42, doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, text_crc32, shard, slot. Row counts differ by one at most."""
+    """One row per document: doc_id, source, size, text_crc32, shard, slot (and ``row``, a column that tells rows apart). Row
+    counts differ by one at most."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
+        *([F.col(row).alias("row")] if row else []),
         F.col(doc_id).alias("doc_id"),
         F.concat(F.when(F.col(source).isNull(), "0").otherwise("1"), F.coalesce(F.col(source), F.lit(""))).alias("src"),
         (F.octet_length(t).cast("long") + 1).alias("size"),
@@ -68,17 +76,23 @@ def assign(
     return (
         pos.withColumn("shard", exact)
         .withColumn("slot", F.col("pos") - first)
-        .select("doc_id", F.expr("if(left(src, 1) = '0', null, substring(src, 2))").alias("source"), "size", "text_crc32", "shard", "slot")
+        .select(*(["row"] if row else []), "doc_id", F.expr("if(left(src, 1) = '0', null, substring(src, 2))").alias("source"), "size", "text_crc32", "shard", "slot")
     )
 
 
 def write_shards(docs: DataFrame, path: str, **kw) -> None:
-    """Write ``docs`` with its shard and slot, one folder per shard, in slot order inside each file."""
-    placed = assign(docs, **kw).select("doc_id", "shard", "slot")
+    """Write ``docs`` with its shard and slot, one folder per shard, in slot order inside each file; columns of its own named
+    shard or slot go. Rows are numbered in a written table, so rows that repeat a doc_id, or have none, each keep their slot."""
+    tables = Tables(docs.sparkSession, "shards")
+    boxed = tables.write(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")), "rows")
+    columns = {k: kw.pop(k, k) for k in ("doc_id", "source", "text")}
+    placed = assign(boxed.select("row", *(F.col("own")[c].alias(k) for k, c in columns.items())), row="row", **kw).select("row", "shard", "slot")
     (
-        docs.join(placed, "doc_id")
+        boxed.join(placed, "row")
+        .select(*(F.col("own")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
         .repartition("shard", F.floor(F.col("slot") / 1_000_000))
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
         .parquet(path)
     )
+    tables.drop(boxed)

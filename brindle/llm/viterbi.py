@@ -11,7 +11,7 @@ Text is cut as the library's Metaspace step does: a space becomes U+2581 and sta
 first word gets one too. Words are independent, so counts are kept in a bounded memo.
 
 Defined cases: a null or empty text has no tokens; equal texts have equal counts; words of any length take
-time linear in it (pieces are of bounded length) and memory for one score and count per character.
+time linear in it (pieces are of bounded length) and memory for a score, a count and the matches of each character.
 """
 
 from __future__ import annotations

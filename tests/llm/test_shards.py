@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from brindle.llm import shards
 from tests.llm.helpers import ODD, SF, empty_docs, odd_docs, same_as_oracle
 
@@ -16,12 +18,35 @@ def test_law_mixture_and_slots(spark):
     assert sorted(n) == list(range(8)) and max(n.values()) - min(n.values()) <= 1
     for s in n:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(n[s]))
-        for src, all_ in Counter(r.source for r in rows).items():
-            assert abs(sum(r.shard == s and r.source == src for r in rows) - all_ / 8) <= 1.01
+        sources = Counter(r.source for r in rows)
+        for src, all_ in sources.items():
+            assert abs(sum(r.shard == s and r.source == src for r in rows) - all_ / 8) <= 1 + (len(sources) + 1) * all_ / len(rows)
     again = shards.assign(docs.repartition(7)).collect()
     assert sorted(rows) == sorted(again)
 
 
+def test_mixture_of_many_sources(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('s', int(pow(id % 61, 2) / 40)) as source", "'x' as text")
+    rows = shards.assign(docs, shards=5).collect()
+    sources, at = Counter(r.source for r in rows), Counter((r.source, r.shard) for r in rows)
+    assert len(sources) > 30
+    for src, n in sources.items():
+        for s in range(5):
+            assert abs(at[src, s] - n / 5) <= 1 + (len(sources) + 1) * n / len(rows)
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    odd = odd_docs(spark).withColumn("row", F.lit("mine")).withColumn("own", F.lit(1))
+    docs = odd.union(odd.withColumn("doc_id", F.lit(None).cast("long"))).union(odd.limit(3))
+    shards.write_shards(docs, f"{tmp_path}/out", shards=4, seed=1)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    key = lambda r: (str(r.doc_id), str(r.text), str(r.lang), str(r.source), r.row)
+    assert sorted(map(key, got)) == sorted(map(key, docs.collect()))
+    for s in range(4):
+        slots = [r.slot for r in got if r.shard == s]
+        assert sorted(slots) == list(range(len(slots)))
+
+
 def test_odd_rows(spark):
     rows = shards.assign(odd_docs(spark)).collect()
     assert len(rows) == len(ODD)
