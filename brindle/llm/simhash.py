@@ -12,9 +12,10 @@ outside the key. For tau = 2, two fingerprints differ in at most two bits exactl
 neighbour, so links of a hot key cost a constant number of rows per member and none is lost. (For other
 ``tau`` the hot path is not defined; odd or larger tau raises.)
 
-Links become components by star contraction (see components). Defined cases: a text without words (null,
-empty, white space) has fingerprint zero and is linked like any other; fewer words than a shingle make one
-shingle; repeated rows are in one component; an empty table gives no rows.
+Links become components by star contraction (see components), of fingerprints, so rows that repeat a doc_id keep
+apart. Defined cases: a text without words (null, empty, white space) has fingerprint zero and is linked like any
+other; fewer words than a shingle make one shingle; repeated rows are in one component; a component of null doc_ids
+alone has a null id; columns of any name pass; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Tables, map_rows
@@ -84,14 +84,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (the 64 bits as a signed long)."""
+    """One row per document: doc_id, fp (the 64 bits as a signed long), th (the text's hash)."""
 
-    def rows(ids, texts):
-        for i, t in zip(ids, texts, strict=True):
+    def rows(ids, texts, hashes):
+        for i, t, h in zip(ids, texts, hashes, strict=True):
             f = fingerprint(t)
-            yield i, f - (1 << 64) if f >> 63 else f
+            yield i, f - (1 << 64) if f >> 63 else f, h
 
-    return map_rows(docs, [doc_id, text], rows, "doc_id long, fp long")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    return map_rows(own, ["doc_id", "text", "th"], rows, "doc_id long, fp long, th long")
 
 
 def segment_masks(m: int = SEGMENTS) -> list[int]:
@@ -157,24 +158,31 @@ def _key_mask(m: int, e: int) -> Column:
     return F.coalesce(*(F.when(F.col("start") == s, F.lit(_signed(chain_masks(s, m)[e - 1]))) for s in range(m)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id it is linked to by any path)."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, tables: Tables) -> DataFrame:
+    """One row per document: doc_id, fp, th, group (the smallest fingerprint of its component)."""
     from .components import components
 
-    tables = Tables(docs.sparkSession, "simhash")
     found = tables.write(fingerprints(docs, doc_id, text), "fingerprints")
-    reps = tables.write(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    pairs = links(reps.select("fp"), tables)
-    edges = pairs.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
-    roots = components(edges, tables)
-    named = reps.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = components(links(found.select("fp").distinct(), tables), tables)
+    return found.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "th", F.coalesce("root", "fp").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id it is linked to by any path)."""
+    tables = Tables(docs.sparkSession, "simhash")
+    grouped = tables.write(_grouped(docs, doc_id, text, tables), "grouped")
+    least = tables.write(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")), "least")
+    return grouped.join(least, "group").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all columns, the document with the smallest doc_id of each component alone; of rows that repeat it, the one
-    whose text has the smallest hash."""
-    stay = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")), "left_semi")
-    order = W.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    return kept.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").drop("_copy")
+    """``docs`` with all columns, of each component one document alone: the one with the smallest doc_id (null first), then the
+    smallest hash of its text; of rows that repeat both, any."""
+    tables = Tables(docs.sparkSession, "simhash")
+    first = _grouped(docs, doc_id, text, tables).groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    stay = tables.write(first.select(F.col("x.doc_id").alias("d"), F.col("x.th").alias("h")), "first").withColumn("key", F.xxhash64(F.col("d").isNull(), "d", "h"))
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    boxed = boxed.withColumn("key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "th"))
+    kept = boxed.alias("l").join(stay.alias("r"), (F.col("l.key") == F.col("r.key")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left_semi")
+    one = kept.dropDuplicates(["key", "doc_id", "th"])
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
