@@ -21,7 +21,8 @@ passes by itself. Every document and every passage counts; nothing is sampled.
 
 Defined cases: words compare in lower case without punctuation at their ends; null or empty texts and items
 have no words; items of fewer than ``MIN_WORDS`` words are not looked for; repeated items each report;
-repeated documents each get their row; an empty benchmark leaves all clean; an empty table gives no rows.
+repeated documents and null doc_ids each get their row; a null item id is written "null"; columns of any name pass;
+an empty benchmark leaves all clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,11 +101,11 @@ class Items:
         return cls(ids, words, vocab)
 
 
-#: The column of term numbers that the first pass adds.
+#: The column of term numbers that the first pass adds; it takes another name where a table has one of this name.
 IDS = "_term_ids"
 
 
-def numbered(docs: DataFrame, items: Items, tables: Tables, text: str = "text", drop: tuple = ()) -> DataFrame:
+def numbered(docs: DataFrame, items: Items, tables: Tables, text: str = "text", drop: tuple = (), ids: str = IDS) -> DataFrame:
     """``docs`` with the term number of each word (-1: no term of the block), written to the shared folder. Texts are
     cut into words once; the passes after this one read numbers alone."""
     held, key = docs.sparkSession.sparkContext.broadcast(items.vocab), _key(items)
@@ -124,9 +125,9 @@ def numbered(docs: DataFrame, items: Items, tables: Tables, text: str = "text",
                 words = (t or b"").split()  # bytes split at ASCII white space alone
                 x = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
                 out.append(x[x > -2].astype(kind).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, IDS])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, ids])
 
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(IDS, BinaryType())]))
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, BinaryType())]))
     return tables.write(out.drop(*drop), "numbered")
 
 
@@ -134,7 +135,7 @@ def _kind(items: Items) -> str:
     return "<i2" if len(items.vocab) < 1 << 15 else "<i4"
 
 
-def document_frequency(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
+def document_frequency(docs: DataFrame, items: Items, ids: str = IDS) -> tuple[int, np.ndarray]:
     """Number of documents, and in how many each term occurs. ``docs``: numbered."""
     terms, kind = len(items.vocab), _kind(items)
 
@@ -149,7 +150,7 @@ def document_frequency(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
 
     out = np.zeros(terms, np.int64)
     total = 0
-    for term, n in docs.select(IDS).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
+    for term, n in docs.select(ids).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():  # a row for each term of the block
         if term < 0:
             total = n
         else:
@@ -231,7 +232,7 @@ def _row_sums(block: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
+def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray, ids: str = IDS) -> np.ndarray:
     """Leading right singular vectors (terms by rank) of the TF-IDF matrix of all passages. ``docs``: numbered."""
     terms, kind = len(items.vocab), _kind(items)
     held = docs.sparkSession.sparkContext.broadcast(weight)
@@ -277,7 +278,7 @@ def singular_vectors(docs: DataFrame, items: Items, weight: np.ndarray) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["part", "sums"])
 
     schema = "part int, sums binary"
-    summed = docs.select(IDS).mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
+    summed = docs.select(ids).mapInArrow(run, schema).repartition("part").mapInArrow(add, schema)
     g = _gaussian(terms).astype(np.float64)
     z = np.zeros((-(-terms // per) * per, g.shape[1]))
     for k, blob in summed.collect():  # terms by rank numbers
@@ -381,37 +382,40 @@ SCHEMA = "doc_id long, n_items long, item_ids string, best_share double, contami
 class Searcher:
     """Finds a block's items in numbered documents, in a worker. Fitting it takes two passes over all of them."""
 
-    def __init__(self, docs: DataFrame, items: Items):
-        total, df = document_frequency(docs, items)
+    def __init__(self, docs: DataFrame, items: Items, ids: str = IDS):
+        total, df = document_frequency(docs, items, ids)
         weight = weights(items, total, df)
-        basis = singular_vectors(docs, items, weight)
+        basis = singular_vectors(docs, items, weight, ids)
         self.held = docs.sparkSession.sparkContext.broadcast((items, weight, basis, df))  # of bounded size: see BENCHMARK_BYTES
         self.number, self.kind = uuid.uuid4().hex, _kind(items)
 
     def __call__(self, ids: list[bytes]) -> Iterator[tuple[list, float]]:
-        """Items found in each document, ascending, and the best share."""
+        """Items found in each document, and the best share."""
         m = per_process(("latent-matcher", self.number), lambda: Matcher(*self.held.value))
         chunk = Chunk.empty()
         for end, b in enumerate(ids, 1):
             chunk.add(np.frombuffer(b, self.kind), LONG)
             if chunk.blocks >= CHUNK or end == len(ids):
                 for best in m.hits(chunk):
-                    yield sorted({m.items.ids[k] for k in best}), max(best.values(), default=0.0)
+                    yield list({m.items.ids[k] for k in best}), max(best.values(), default=0.0)
                 chunk = Chunk.empty()
 
 
-def _search(docs: DataFrame, items: Items, doc_id: str, text: str) -> DataFrame:
+FOUND = "row long, doc_id long, items array<string>, best_share double"
+
+
+def _search(docs: DataFrame, items: Items) -> DataFrame:
+    """``docs``: row, doc_id, text."""
     if not items.words:
-        return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("item_ids"), F.lit(0.0).alias("best_share"), F.lit(False).alias("contaminated"))
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ready = numbered(narrow, items, Tables(docs.sparkSession, "latent"), drop=("text",))
+        return docs.select("row", "doc_id", F.array().cast("array<string>").alias("items"), F.lit(0.0).alias("best_share"))
+    ready = numbered(docs, items, Tables(docs.sparkSession, "latent"), drop=("text",))
     search = Searcher(ready, items)
 
-    def rows(ids, terms):
-        for i, (found, best) in zip(ids, search(terms), strict=True):
-            yield i, len(found), ",".join(map(str, found)), best, bool(found)
+    def rows(row, ids, terms):
+        for n, i, (found, best) in zip(row, ids, search(terms), strict=True):
+            yield n, i, ["null" if x is None else str(x) for x in found], best
 
-    return map_rows(ready, ["doc_id", IDS], rows, SCHEMA)
+    return map_rows(ready, ["row", "doc_id", IDS], rows, FOUND)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Items]:
@@ -425,27 +429,35 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_items, item_ids (ascending, joined by commas), best_share, contaminated."""
-    parts = [_search(docs, items, doc_id, text) for items in item_blocks(benchmark)]
+    """One row per document: doc_id, n_items, item_ids (ascending, numbers as such; joined by commas), best_share, contaminated."""
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    blocks = list(item_blocks(benchmark))
+    if len(blocks) > 1:  # numbers of rows hold for all blocks once they are written
+        own = Tables(docs.sparkSession, "latent").write(own, "rows")
+    parts = [_search(own, items) for items in blocks]
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
-        out = out.groupBy("doc_id").agg(
-            F.sum("n_items").alias("n_items"),
-            F.array_join(F.sort_array(F.transform(F.filter(F.flatten(F.collect_list(F.split("item_ids", ","))), lambda x: x != ""), lambda x: x.cast("long"))), ",").alias("item_ids"),
-            F.max("best_share").alias("best_share"),
-            F.bool_or("contaminated").alias("contaminated"),
-        )
-    return out
+        out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.collect_list("items")).alias("items"), F.max("best_share").alias("best_share"))
+    ordered = F.expr("transform(array_sort(transform(array_distinct(items), x -> struct(try_cast(x as decimal(38,0)) as n, x as x))), y -> y.x)")
+    return out.select(
+        "doc_id",
+        F.size(F.array_distinct("items")).cast("long").alias("n_items"),
+        F.array_join(ordered, ",").alias("item_ids"),
+        "best_share",
+        (F.size("items") > 0).alias("contaminated"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones, with all columns; no shuffle of texts."""
-    out = docs
+    out, name = docs, IDS
+    while name in docs.columns:
+        name += "_"
     for items in item_blocks(benchmark):
         if items.words:
-            ready = numbered(out, items, Tables(docs.sparkSession, "latent"), text)
-            search = Searcher(ready, items)
-            out = filter_rows(ready, [IDS], lambda ids, search=search: [not found for found, _ in search(ids)]).drop(IDS)
+            ready = numbered(out, items, Tables(docs.sparkSession, "latent"), text, ids=name)
+            search = Searcher(ready, items, name)
+            out = filter_rows(ready, [name], lambda ids, search=search: [not found for found, _ in search(ids)]).drop(name)
     return out
