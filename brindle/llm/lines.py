@@ -7,8 +7,9 @@ Lines (cut at line feeds) with at least one word take part; equal lines are one.
 Lines that share a key are candidates, unless their signatures agree in less than ``AGREE`` of 64 bins, which a
 similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. Each
 line is first held against the smallest of its key (its leader); what is verified is linked, and components are
-formed. While keys still hold lines of many different components, further leaders take their turns. What is left
-of a key is joined with itself with the signatures in the join condition, so that of all its pairs only close ones
+formed. Lines whose signature is near that of their leader, while they are not similar, are undecided: copies that differ
+by about as much as the threshold. While keys hold many of them in different components, further leaders take
+their turns, which unite what is similar at a few pairs for each line. What is left of a key is joined with itself with the signatures in the join condition, so that of all its pairs only close ones
 come out. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
 is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, computed on the whole lines.
 Within a component only the first line by (doc_id, line number) stays.
@@ -49,8 +50,8 @@ SIMILARITY = 0.8
 CHUNK = 1 << 15
 #: Rows of keys in a batch.
 ROWS_OUT = 1 << 16
-#: Further leaders take turns while the components of keys make more pairs than this for each line, so many times at most.
-FEW, TURNS = 64, 6
+#: Further leaders take turns while undecided lines make more pairs across components than this for each, so many times at most.
+FEW, TURNS = 4, 6
 #: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
 MAP_BITS = 1 << 25
 #: Longs of a sketch, which has four bits of each of the first bins; the share of bins in which similar lines agree.
@@ -312,18 +313,18 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     tried = [tables.write(_close(pairs, sketches), "pairs")]
     tables.free()
     links = texts.verified(tried[0])
+    near = tried[0].join(links, ["a", "b"], "left_anti")
+    undecided = tables.write(near.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "undecided")
     for turn in range(TURNS + 1):
         roots = components(links, tables)
-        named = tables.write(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), "named")
-        sizes = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("n * n > own")
-        sizes = tables.write(sizes, "sizes")
-        left, members = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not left:
-            break
+        named = met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root"))
+        if turn < TURNS:
+            mixed = tables.write(_mixed_keys(named.join(undecided, "line", "left_semi"), tables), "mixed")
+            sizes = mixed.groupBy("key").agg(F.count("*").alias("n"))
+            members, left = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()
         last = turn == TURNS or left <= FEW * members
-        mixed = tables.write(named.join(sizes.select("key"), "key"), "mixed")
-        tables.drop(named, sizes)
         if last:
+            mixed = tables.write(_mixed_keys(named, tables), "mixed")
             more = _close_across(mixed, sketches)
         else:
             # another leader for each key: what is near it joins its component, so few components are left
@@ -344,6 +345,13 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     return places, roots
 
 
+def _mixed_keys(named: DataFrame, tables: Tables) -> DataFrame:
+    """The rows (key, line, root) of keys with lines of several components."""
+    named = tables.write(named, "named")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return named.join(tables.write(mixed, "keys"), "key")
+
+
 def _may_be_similar(x: str, y: str):
     """Whether the sketches in columns ``x`` and ``y`` agree in enough bins."""
 
