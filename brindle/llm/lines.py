@@ -7,10 +7,10 @@ Lines (cut at line feeds) with at least one word take part; equal lines are one.
 Lines that share a key are candidates, unless their signatures agree in less than ``AGREE`` of 64 bins, which a
 similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. Each
 line is first held against the smallest of its key (its leader); what is verified is linked, and components are
-formed. Lines whose signature is near that of their leader, while they are not similar, are undecided: copies that differ
-by about as much as the threshold. While keys hold many of them in different components, further leaders take
-their turns, which unite what is similar at a few pairs for each line. What is left of a key is joined with itself with the signatures in the join condition, so that of all its pairs only close ones
-come out. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
+formed. What still lies in different components of a key is joined with itself, the signatures in the join
+condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader and yet not
+similar are copies that differ by about as much as the threshold, and may be many: between two of these the
+condition compares the shingles' hashes as well, so that only links come out. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
 is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, computed on the whole lines.
 Within a component only the first line by (doc_id, line number) stays.
 
@@ -50,8 +50,6 @@ SIMILARITY = 0.8
 CHUNK = 1 << 15
 #: Rows of keys in a batch.
 ROWS_OUT = 1 << 16
-#: Further leaders take turns while undecided lines make more pairs across components than this for each, so many times at most.
-FEW, TURNS = 4, 6
 #: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
 MAP_BITS = 1 << 25
 #: Longs of a sketch, which has four bits of each of the first bins; the share of bins in which similar lines agree.
@@ -310,37 +308,19 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     edge = table.filter("edge").select("key", F.col("leader").alias("b"))  # two rows a task
     between = edge.join(edge.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a < b").select("a", "b")
     pairs = table.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(between).distinct()
-    tried = [tables.write(_close(pairs, sketches), "pairs")]
+    pairs = tables.write(_close(pairs, sketches), "pairs")
     tables.free()
-    links = texts.verified(tried[0])
-    near = tried[0].join(links, ["a", "b"], "left_anti")
-    undecided = tables.write(near.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "undecided")
-    for turn in range(TURNS + 1):
-        roots = components(links, tables)
-        named = met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root"))
-        if turn < TURNS:
-            mixed = tables.write(_mixed_keys(named.join(undecided, "line", "left_semi"), tables), "mixed")
-            sizes = mixed.groupBy("key").agg(F.count("*").alias("n"))
-            members, left = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()
-        last = turn == TURNS or left <= FEW * members
-        if last:
-            mixed = tables.write(_mixed_keys(named, tables), "mixed")
-            more = _close_across(mixed, sketches)
-        else:
-            # another leader for each key: what is near it joins its component, so few components are left
-            leader = mixed.groupBy("key").agg(F.min_by(F.struct("line", "root"), F.xxhash64("line", F.lit(turn))).alias("x")).select("key", F.col("x.line").alias("x"), F.col("x.root").alias("xr"))
-            leader = tables.write(leader, "leader")
-            more = _close(mixed.join(leader, "key").filter("root <> xr").select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct(), sketches)
-        for t in tried:
-            more = more.join(t, ["a", "b"], "left_anti")
-        tried.append(tables.write(more, "more"))
-        tables.drop(mixed)
-        tables.free()
-        links = tables.write(links.union(texts.verified(tried[-1])), "links")
-        if last:
-            roots = components(links, tables)
-            break
-    tables.drop(table, sketches, *texts.held, *tried)
+    links = texts.verified(pairs)
+    roots = components(links, tables)
+    mixed = tables.write(_mixed_keys(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), tables), "mixed")
+    near = pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    sets = tables.write(_sets(texts.held[0].join(near, "line", "left_semi")), "sets")
+    more = tables.write(_close_across(mixed, sketches, sets).join(pairs, ["a", "b"], "left_anti"), "more")
+    tables.drop(mixed, sets)
+    tables.free()
+    links = links.union(texts.verified(more))
+    roots = components(links, tables)
+    tables.drop(table, sketches, *texts.held, pairs, more)
     places = tables.write(_occurrences(docs), "places")
     return places, roots
 
@@ -349,7 +329,17 @@ def _mixed_keys(named: DataFrame, tables: Tables) -> DataFrame:
     """The rows (key, line, root) of keys with lines of several components."""
     named = tables.write(named, "named")
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return named.join(tables.write(mixed, "keys"), "key")
+    return named.join(tables.write(mixed, "mixed-keys"), "key")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(line, hashes of its distinct shingles)."""
+
+    def rows(lines, contents):
+        for i, t in zip(lines, contents, strict=True):
+            yield i, np.unique(_hashes(_points(_padded(t))) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+
+    return map_rows(texts, ["line", "content"], rows, "line long, set array<int>")
 
 
 def _may_be_similar(x: str, y: str):
@@ -369,13 +359,16 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").filter(_may_be_similar("sa", "sb")).select("a", "b")
 
 
-def _close_across(mixed: DataFrame, sketches: DataFrame) -> DataFrame:
+def _close_across(mixed: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines that share a key, in different components, that may be similar; each from its least shared key."""
     by_line = mixed.groupBy("line", "root").agg(F.collect_set("key").alias("keys"))  # a line has ``BANDS`` keys
-    known = by_line.join(sketches, "line").select("line", "root", "keys", "sketch", F.explode("keys").alias("key"))
+    known = by_line.join(sketches, "line").join(sets, "line", "left").select("line", "root", "keys", "sketch", "set", F.explode("keys").alias("key"))
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") < F.col("r.line")) & (F.col("l.root") != F.col("r.root"))
     least = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
-    return known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least).select(F.col("l.line").alias("a"), F.col("r.line").alias("b"))
+    both = F.size(F.array_intersect("l.set", "r.set"))
+    # equal hashes of unlike shingles could hide a link of exactly the threshold; a hundredth is far more than they make
+    similar_ = F.col("l.set").isNull() | F.col("r.set").isNull() | (both >= (SIMILARITY - 0.01) * (F.size("l.set") + F.size("r.set") - both))
+    return known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least & similar_).select(F.col("l.line").alias("a"), F.col("r.line").alias("b"))
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Tables]:

@@ -81,12 +81,21 @@ def test_equals_brute_force(spark):
     assert got == want
 
 
-def test_further_leaders_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(lines, "FEW", 0)
-    monkeypatch.setattr(lines, "TURNS", 1)
-    docs = fixture(30, 9)
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == brute(docs)
+def test_copies_near_the_threshold_lose_no_link(spark):
+    """Many copies of few lines, each changed by about as much as the threshold allows."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(3))
+    docs = []
+    for f in range(3):
+        base = [word() for _ in range(30)]
+        for i in range(60):
+            ws = list(base)
+            for _ in range(rnd.choice((1, 2, 2, 3))):
+                ws[rnd.randrange(len(ws))] = word()
+            docs.append((100 * f + i, " ".join(ws)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got, want = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}, brute(docs)
+    assert got == want and sum(t != "" for t in want.values()) > 3
 
 
 def test_band_recall():
