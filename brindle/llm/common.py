@@ -145,6 +145,11 @@ def per_process(key, make: Callable):
     return _PER_PROCESS[name][1]
 
 
+def release(operator: str) -> None:
+    """Let go of what other operators hold in this worker; for operators that hold nothing themselves."""
+    per_process(f"{operator}-here", dict)
+
+
 def _give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()

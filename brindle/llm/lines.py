@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import WORD, Tables, map_rows
+from .common import WORD, Tables, map_rows, release
 from .components import components
 from .debruijn import _mixed, rolling
 
@@ -123,6 +123,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     """(key, line, sketch) for each band of each line; the sketch is with a line's first key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("lines")
         seen: set[int] = set()
         ids: list[int] = []
         part: list[str] = []
@@ -169,6 +170,7 @@ def _shared(keys: DataFrame) -> DataFrame:
         def rows(key, line, leader, edge=False):
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line, pa.int64()), pa.array(leader, pa.int64()), pa.array([edge] * len(key), pa.bool_())], names=names)
 
+        release("lines")
         first = last = None  # (key, leader, line seen last) of the first key and of the one that may go on
         waits = False  # the last key has one line so far, which is not out
         for batch in batches:
@@ -237,6 +239,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that are similar. Rows come in the order of ``a``, whose shingles are held for the next."""
 
     def rows(a, b, ta, tb):
+        release("lines")
         held: tuple = None, None
         for i, j, x, y in zip(a, b, ta, tb, strict=True):
             if held[0] != i:

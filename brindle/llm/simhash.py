@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, map_rows
+from .common import Tables, map_rows, release
 
 SHINGLE = 3
 SEED = 42
@@ -87,6 +87,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row per document: doc_id, fp (the 64 bits as a signed long), th (the text's hash)."""
 
     def rows(ids, texts, hashes):
+        release("simhash")
         for i, t, h in zip(ids, texts, hashes, strict=True):
             f = fingerprint(t)
             yield i, f - (1 << 64) if f >> 63 else f, h
