@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,19 +114,22 @@ def dormancy_parts(value: Column) -> tuple[Column, Column]:
     return h, F.concat(F.lit("/"), F.array_join(F.transform(segments(p), one), "/"))
 
 
+#: The characters that a wildcard may cross with dots, without dots, and that a single one stands for.
+WIDE, NARROW, ONE = "[a-zA-Z0-9._:-]*", "[a-zA-Z0-9_:-]*", "[a-zA-Z0-9_-]"
+
+
 def glob_regex(pattern: str) -> str:
     """A domain glob as a pattern: a leading * and ** cross dots, another * does not, ? is one character."""
-    out, i = [], 0
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "*":
-            wide = pattern[i : i + 2] == "**"
-            out.append("[a-zA-Z0-9._:-]*" if wide or i == 0 else "[a-zA-Z0-9_:-]*")
-            i += 1 + wide
-            continue
-        out.append("[a-zA-Z0-9_-]" if c == "?" else "\\" + c if c in ".^$+{}[]|()\\" else c)
-        i += 1
-    return f"(?i)^{''.join(out)}$"
+
+    def piece(m: re.Match) -> str:
+        match m.lastgroup:
+            case "any":
+                return WIDE if m.start() == 0 or m[0] == "**" else NARROW
+            case "one":
+                return ONE
+        return re.escape(m[0])
+
+    return "(?i)^" + re.sub(r"(?P<any>[*]{1,2})|(?P<one>[?])|(?P<text>[^*?]+)", piece, pattern) + "$"
 
 
 def matches_any(h: Column, globs: list[str]) -> Column:
@@ -141,3 +146,16 @@ def ip_number(text: Column) -> Column:
     n = [F.try_element_at(parts, F.lit(i)).cast("long") for i in range(1, 5)]
     good = whole & (F.greatest(*n) <= 255)
     return F.when(good, ((n[0] * 256 + n[1]) * 256 + n[2]) * 256 + n[3])
+
+
+def ip_literal(text: Column) -> Column:
+    """An IPv4 literal in decimal, hexadecimal (0x) or dotted form, whose parts are octal after a leading zero, as a number."""
+    part = lambda s: F.when(s.rlike("^0[0-7]+$"), F.conv(s, 8, 10)).otherwise(s).try_cast("long")
+    parts = F.transform(F.split(text, r"\."), part)
+    number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
+    whole = text.try_cast("long")
+    return (
+        F.when(text.rlike("^[1-9][0-9]{0,9}$"), F.when(whole < 1 << 32, whole))
+        .when(text.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(text, 3, 8), 16, 10).try_cast("long"))
+        .when(text.rlike(r"^([0-9]{1,4}\.){3}[0-9]{1,4}$"), F.when(F.array_max(parts) <= 255, number))
+    )

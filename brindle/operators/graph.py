@@ -22,6 +22,24 @@ def first_pairs(df: DataFrame, key: str, order: list[Column | str], limit: int,
     return a.join(b, key).filter("i < j").join(n, key).filter(number <= limit).select(key, "a", "b", number.alias("number"))
 
 
+def first_pairs_across(df: DataFrame, key: str, part: str, order: list[Column | str], limit: int, fid: str = "fid") -> DataFrame:
+    """The first ``limit`` pairs (a, b) of each key with a's part before b's, in nested-loop order by (part, order).
+
+    A row of a part that ends at e of n rows makes n - e pairs, so numbers follow from counts of parts; of each
+    part only the first ``limit`` rows can be in such a pair."""
+    n = df.groupBy(key, part).agg(F.count("*").alias("n"))
+    before = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    place = n.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("after", F.sum("n").over(W.partitionBy(key)) - F.col("start") - F.col("n"))
+    place = place.withColumn("made", F.coalesce(F.sum(F.col("n") * F.col("after")).over(before), F.lit(0)))
+    ranked = df.select(key, part, fid, F.row_number().over(W.partitionBy(key, part).orderBy(*order)).alias("r")).filter(F.col("r") <= limit)
+    rows = ranked.join(place, [key, part])
+    a = rows.filter((F.col("made") + (F.col("r") - 1) * F.col("after") < limit) & (F.col("after") > 0))
+    a = a.select(key, F.col(fid).alias("a"), (F.col("start") + F.col("n")).alias("end"), (F.col("made") + (F.col("r") - 1) * F.col("after")).alias("base"))
+    b = rows.select(key, F.col(fid).alias("b"), (F.col("start") + F.col("r")).alias("j"))
+    number = F.col("base") + F.col("j") - F.col("end")
+    return a.join(b, key).filter((F.col("j") > F.col("end")) & (number <= limit)).select(key, "a", "b", number.alias("number"))
+
+
 def fair_cap(df: DataFrame, partition: str, order: list[Column | str], limit: int = 50) -> DataFrame:
     """At most ``limit`` rows, taken in turns over the partitions in their order.
 
@@ -46,6 +64,19 @@ def closure(edges: DataFrame, src: str, dst: str, depth: int, seeds: DataFrame |
     return seen
 
 
+def reach(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(first column of ``roots``, node, hops): nodes reached from each root's nodes in at most ``depth`` steps, with the least
+    number. ``roots``: (label, node); ``edges``: (from, to). Only new (label, node) pairs go on, so cycles end."""
+    label, start = roots.columns
+    e = edges.toDF("x", "y").distinct()
+    seen = front = roots.select(label, F.col(start).alias("node")).distinct().withColumn("hops", F.lit(0))
+    for k in range(1, depth + 1):
+        step = front.join(e, F.col("node") == F.col("x")).select(label, F.col("y").alias("node")).distinct()
+        front = step.join(seen, [label, "node"], "left_anti").withColumn("hops", F.lit(k))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def chains(edges: DataFrame, src: str, dst: str, depth: int, keep: int = 3) -> DataFrame:
     """(src, dst, path): up to ``keep`` shortest simple paths to each target, ties by the path; pruned paths are not extended."""
     e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).distinct()

@@ -79,7 +79,7 @@ def transitive_imports(spark, sf_dir):
     return G.closure(_imports(spark, sf_dir), "file_url", "target_url", 5).filter("hops >= 2")
 
 
-PATHS = f"""with recursive e as (select distinct file_url x, target_url y from ({IMPORTS}) where regexp_matches(file_url, 'mod[0-9]\\.js')),
+PATHS = f"""with recursive e as (select distinct file_url x, target_url y from ({IMPORTS})),
   walk(src, dst, path) as (select x, y, [x, y] from e where x <> y union all select src, y, list_append(path, y) from walk join e on dst = x where len(path) < 4 and not list_contains(path, y))
   select src, dst, array_to_string(path, ' > ') path from (select *, row_number() over (partition by src, dst order by len(path), path) r from walk) where r <= 3"""
 
@@ -87,30 +87,32 @@ PATHS = f"""with recursive e as (select distinct file_url x, target_url y from (
 @query(PATHS)
 def shortest_chains(spark, sf_dir):
     """Up to three shortest import chains to each target."""
-    i = _imports(spark, sf_dir).filter(F.col("file_url").rlike(r"mod[0-9]\.js"))
-    return G.chains(i, "file_url", "target_url", 3).select("src", "dst", F.array_join("path", " > ").alias("path"))
+    return G.chains(_imports(spark, sf_dir), "file_url", "target_url", 3).select("src", "dst", F.array_join("path", " > ").alias("path"))
 
 
-CONTEXT = f"select *, 'ctx' || cast(ord % 6 as string) ctx from ({FINDINGS}) where line <= 12"
+CONTEXT = f"select *, 'ctx' || cast(ord % 6 as string) ctx from ({FINDINGS})"
 
 
-@query(f"with f as ({CONTEXT}) select a.fid source, b.fid target, a.ctx from f a join f b on a.ctx = b.ctx and a.file_url < b.file_url and a.line = b.line")
+@query(
+    f"""with f as ({CONTEXT}), r as (select fid, ctx, file_url, row_number() over (partition by ctx order by file_url, {KEY}) i from f),
+    pairs as (select a.ctx, a.fid source, b.fid target, row_number() over (partition by a.ctx order by a.i, b.i) turn from r a join r b on a.ctx = b.ctx and a.file_url < b.file_url)
+    select source, target, ctx, turn::int turn from (select *, row_number() over (order by turn, ctx) place from pairs where turn <= 50) where place <= 50"""
+)
 def runtime_edges(spark, sf_dir):
-    """Findings of different files that load together, on the same line number (keeps the join bounded)."""
-    f = derived(spark, sf_dir, CONTEXT)
-    a = f.select(F.col("fid").alias("source"), "ctx", "line", F.col("file_url").alias("fa"))
-    b = f.select(F.col("fid").alias("target"), "ctx", "line", F.col("file_url").alias("fb"))
-    return a.join(b, ["ctx", "line"]).filter("fa < fb").select("source", "target", "ctx")
+    """Pairs of findings of different files that load together, fifty in turns over the contexts."""
+    pairs = G.first_pairs_across(derived(spark, sf_dir, CONTEXT), "ctx", "file_url", KEY.split(", "), 50)
+    top = G.fair_cap(pairs, "ctx", ["number"], 50)
+    return top.select(F.col("a").alias("source"), F.col("b").alias("target"), "ctx", F.col("turn").cast("int").alias("turn"))
 
 
-CALLS = "select distinct l_orderkey % 40 file_no, 'f' || cast(l_partkey % 12 as string) caller, 'f' || cast(l_suppkey % 12 as string) callee from lineitem where l_linenumber <= 2"
+CALLS = "select distinct l_orderkey % 40 file_no, 'f' || cast(l_partkey % 12 as string) caller, 'f' || cast(l_suppkey % 12 as string) callee from lineitem"
 
 
-@query(f"""with recursive e as (select distinct file_no || ':' || caller x, file_no || ':' || callee y from ({CALLS}) where file_no < 6),
+@query(f"""with recursive e as (select distinct file_no || ':' || caller x, file_no || ':' || callee y from ({CALLS})),
   walk(src, dst, hops) as (select x, y, 1 from e where x <> y union select src, y, hops + 1 from walk join e on dst = x where hops < 5 and y <> src) select src, dst, min(hops)::int hops from walk group by src, dst""")
 def call_graph_closure(spark, sf_dir):
     """Scopes that a scope reaches by calls inside its file, five deep."""
-    e = derived(spark, sf_dir, CALLS).filter("file_no < 6").select(F.concat_ws(":", "file_no", "caller").alias("x"), F.concat_ws(":", "file_no", "callee").alias("y"))
+    e = derived(spark, sf_dir, CALLS).select(F.concat_ws(":", "file_no", "caller").alias("x"), F.concat_ws(":", "file_no", "callee").alias("y"))
     return G.closure(e, "x", "y", 5)
 
 
@@ -181,17 +183,24 @@ def files_without_secret(spark, sf_dir):
     return f.filter("category = 'endpoint'").join(f.filter("category = 'secret'").select("file_url").distinct(), "file_url", "left_anti").select("fid")
 
 
-RANGES = "select l_orderkey % 50 file_no, l_orderkey || '-' || l_linenumber fn, cast(l_partkey % 300 as int) lo, cast(l_partkey % 300 + 3 + l_suppkey % 40 as int) hi from lineitem where l_linenumber = 1"
+RANGES = "select l_orderkey % 50 file_no, l_orderkey || '-' || l_linenumber fn, cast(l_partkey % 300 as int) lo, cast(l_partkey % 300 + 3 + l_suppkey % 40 as int) hi from lineitem"
 POINTS = "select o_orderkey % 50 file_no, o_orderkey, cast(o_custkey % 340 as int) line from orders"
 
 
-@query(f"select o_orderkey, arg_min(fn, (hi - lo, lo, fn)) fn from ({POINTS}) p join ({RANGES}) r on p.file_no = r.file_no and line between lo and hi group by o_orderkey")
+@query(
+    f"""with p as (select distinct file_no, line from ({POINTS})),
+    best as (select p.file_no, p.line, arg_min(fn, (hi - lo, lo, fn)) fn from p join ({RANGES}) r on p.file_no = r.file_no and p.line between lo and hi group by all)
+    select o_orderkey, fn from ({POINTS}) x join best on x.file_no = best.file_no and x.line = best.line"""
+)
 def enclosing_scope(spark, sf_dir):
-    """The innermost function range that holds a line: an interval join on blocks of lines, then the least width."""
+    """The innermost function range that holds a line: distinct lines meet the ranges in blocks, the least width of each is
+    aggregated, and findings join their line's."""
+    points = derived(spark, sf_dir, POINTS)
     r = derived(spark, sf_dir, RANGES).withColumn("block", F.explode(F.expr("sequence(lo div 32, hi div 32)")))
-    p = derived(spark, sf_dir, POINTS).withColumn("block", F.expr("line div 32"))
+    p = points.select("file_no", "line").distinct().withColumn("block", F.expr("line div 32"))
     hit = p.join(r, ["file_no", "block"]).filter("line between lo and hi")
-    return hit.groupBy("o_orderkey").agg(F.min_by("fn", F.struct(F.col("hi") - F.col("lo"), "lo", "fn")).alias("fn"))
+    best = hit.groupBy("file_no", "line").agg(F.min_by("fn", F.struct(F.col("hi") - F.col("lo"), "lo", "fn")).alias("fn"))
+    return points.join(best, ["file_no", "line"]).select("o_orderkey", "fn")
 
 
 @query(f"select p.o_orderkey, max(lo)::int mapped from ({POINTS}) p join ({RANGES}) r on p.file_no = r.file_no and r.lo <= p.line group by p.o_orderkey union all select o_orderkey, null from ({POINTS}) p where not exists (select 1 from ({RANGES}) r where p.file_no = r.file_no and r.lo <= p.line)")
@@ -201,10 +210,10 @@ def line_map_asof(spark, sf_dir):
     return G.asof(derived(spark, sf_dir, POINTS), r, "file_no", "line", "mapped").select("o_orderkey", "mapped")
 
 
-@query(f"with g as (select fid, file_url, line, value from ({FINDINGS}) where category in ('flag', 'sink')) select e.fid, count(g.fid) guards from (select * from ({ENDPOINTS}) where line % 7 = 0) e left join g on e.file_url = g.file_url and g.line <= e.line and e.line <= g.line + 4 group by e.fid")
+@query(f"with g as (select fid, file_url, line, value from ({FINDINGS}) where category in ('flag', 'sink')) select e.fid, count(g.fid) guards from ({ENDPOINTS}) e left join g on e.file_url = g.file_url and g.line <= e.line and e.line <= g.line + 4 group by e.fid")
 def guard_interval_join(spark, sf_dir):
     """Guards whose five lines hold an endpoint."""
     f = findings(spark, sf_dir)
     g = f.filter("category in ('flag', 'sink')").select("file_url", F.col("fid").alias("g"), F.explode(F.sequence(F.col("line"), F.col("line") + 4)).alias("line"))
-    e = f.filter("category = 'endpoint' and line % 7 = 0").select("fid", "file_url", "line")
+    e = f.filter("category = 'endpoint'").select("fid", "file_url", "line")
     return e.join(g, ["file_url", "line"], "left").groupBy("fid").agg(F.count("g").alias("guards"))

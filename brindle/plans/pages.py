@@ -255,15 +255,15 @@ def ssrf_range_join(spark, sf_dir):
 
 
 @query(
-    f"""with recursive nodes as (select href node, min(page_id) page from ({LINKS}) where page_id < 40 group by href),
-    edges as (select distinct a.href src, b.href dst from ({LINKS}) a join ({LINKS}) b on a.page_id = b.page_id and b.pos = a.pos + 1 where a.page_id < 40),
-    seeds as (select min(href) node from ({LINKS}) where page_id < 40),
+    f"""with recursive nodes as (select href node, min(page_id) page from ({LINKS}) group by href),
+    edges as (select distinct a.href src, b.href dst from ({LINKS}) a join ({LINKS}) b on a.page_id = b.page_id and b.pos = a.pos + 1),
+    seeds as (select min(href) node from ({LINKS})),
     walk(node, depth) as (select node, 0 from seeds union select dst, depth + 1 from walk join edges on src = node where depth < 3)
     select node, min(depth)::int depth from walk group by node"""
 )
 def crawl_bfs(spark, sf_dir):
     """Pages reached from the first link within three steps, each with its least depth; visited pages are left out by an anti-join."""
-    links = _links(spark, sf_dir).filter("page_id < 40")
+    links = _links(spark, sf_dir)
     edges = links.alias("a").join(links.alias("b"), F.expr("a.page_id = b.page_id and b.pos = a.pos + 1")).select(F.col("a.href").alias("src"), F.col("b.href").alias("dst")).distinct()
     seen = front = links.agg(F.min("href").alias("node")).withColumn("depth", F.lit(0))
     for d in range(1, 4):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
-MODULES = ("pages", "texts", "scoring", "api", "graphs", "scripts", "streams", "quality")
+MODULES = ("pages", "texts", "scoring", "api", "graphs", "scripts", "streams", "quality", "surface")
 
 
 def query(sql: str | None = None):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.operators.scripts import read_sources
+from brindle.functions import vlq as V
 from brindle.plans.registry import query
 from brindle.sources.tables import ENDPOINTS, derived, endpoints
 
@@ -79,28 +80,16 @@ def js_findings_by_category(spark, sf_dir):
     return _rows(spark, sf_dir).filter("category <> 'literal'").groupBy("category").agg(F.count("*").alias("n"))
 
 
-VLQ_ROWS = "select l_orderkey map_id, l_linenumber seg, cast(max(l_partkey) % 7 as int) d_col, cast(max(l_suppkey) % 5 - 2 as int) d_line from lineitem where l_orderkey % 3 = 0 group by l_orderkey, l_linenumber"
-B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-
-
-def vlq_digit(n):
-    """Base-64 VLQ of a number below 16 in size: one digit, sign in the lowest bit."""
-    d = F.when(n < 0, F.abs(n) * 2 + 1).otherwise(n * 2)
-    return F.substr(F.lit(B64), d + 1, F.lit(1))
-
-
-def vlq_value(c):
-    d = F.call_function("instr", F.lit(B64), c) - 1
-    return F.when(d % 2 == 1, -((d - 1) / 2).cast("int")).otherwise((d / 2).cast("int"))
+VLQ_ROWS = "select l_orderkey map_id, l_linenumber seg, cast(max(l_partkey) % 3000 as int) d_col, cast(max(l_suppkey) % 1000 - 400 as int) d_line from lineitem group by l_orderkey, l_linenumber"
 
 
 @query(f"select map_id, seg, (sum(d_col) over w)::int gen_col, (sum(d_line) over w)::int src_line from ({VLQ_ROWS}) window w as (partition by map_id order by seg)")
 def vlq_decode(spark, sf_dir):
     """Mapping segments: encoded to base-64 digits, decoded, and summed along the line."""
-    enc = derived(spark, sf_dir, VLQ_ROWS).select("map_id", "seg", F.concat(vlq_digit(F.col("d_col")), vlq_digit(F.col("d_line"))).alias("text"))
-    dec = enc.select("map_id", "seg", vlq_value(F.substr("text", F.lit(1), F.lit(1))).alias("a"), vlq_value(F.substr("text", F.lit(2), F.lit(1))).alias("b"))
+    enc = derived(spark, sf_dir, VLQ_ROWS).select("map_id", "seg", F.concat(V.encoded(F.col("d_col")), V.encoded(F.col("d_line"))).alias("text"))
+    dec = enc.select("map_id", "seg", V.numbers(F.col("text")).alias("x"))
     w = W.partitionBy("map_id").orderBy("seg").rowsBetween(W.unboundedPreceding, 0)
-    return dec.select("map_id", "seg", F.sum("a").over(w).cast("int").alias("gen_col"), F.sum("b").over(w).cast("int").alias("src_line"))
+    return dec.select("map_id", "seg", F.sum(F.col("x")[0]).over(w).cast("int").alias("gen_col"), F.sum(F.col("x")[1]).over(w).cast("int").alias("src_line"))
 
 
 RULES = [

@@ -79,7 +79,7 @@ select distinct 'https://app.example.com/js/mod' || cast(l_partkey % 60 as strin
   './mod' || cast((l_partkey % 60 + 1 + l_suppkey % 3) % 60 as string) source,
   'https://app.example.com/js/mod' || cast((l_partkey % 60 + 1 + l_suppkey % 3) % 60 as string) || '.js' target_url,
   l_suppkey % 3 = 1 is_dynamic
-from lineitem where l_partkey % 7 < 3"""
+from lineitem"""
 
 _TABLES = ("orders", "supplier", "part", "events", "lineitem", "customer")
 
