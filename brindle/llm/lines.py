@@ -10,8 +10,9 @@ line is first held against the smallest of its key (its leader); what is verifie
 formed. What still lies in different components of a key is joined with itself, the signatures in the join
 condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader and yet not
 similar are copies that differ by about as much as the threshold, and may be many: between two of these the
-condition compares the shingles' hashes as well, so that only links come out. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
-is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, computed on the whole lines.
+condition compares the shingles' hashes as well, so that only links come out, and few pairs that ``SLACK`` equal
+hashes of unlike shingles could decide. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
+is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, over the whole lines.
 Within a component only the first line by (doc_id, line number) stays.
 
 Keys are sorted by ranges of (key, line), so a key with a large share of all lines lies in many tasks; each reads its
@@ -50,6 +51,8 @@ SIMILARITY = 0.8
 CHUNK = 1 << 15
 #: Rows of keys in a batch.
 ROWS_OUT = 1 << 16
+#: Equal hashes (of 32 bits) of unlike shingles that a pair is allowed; more have a probability below 1e-18.
+SLACK = 3
 #: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
 MAP_BITS = 1 << 25
 #: Longs of a sketch, which has four bits of each of the first bins; the share of bins in which similar lines agree.
@@ -318,10 +321,11 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     mixed = tables.write(_mixed_keys(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), tables), "mixed")
     near = pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("line")).distinct()
     sets = tables.write(_sets(texts.held[0].join(near, "line", "left_semi")), "sets")
-    more = tables.write(_close_across(mixed, sketches, sets).join(pairs, ["a", "b"], "left_anti"), "more")
+    # pairs tried above are linked, or both of their lines have sets that tell them apart
+    more = tables.write(_close_across(mixed, sketches, sets), "more")
     tables.drop(mixed, sets)
     tables.free()
-    links = links.union(texts.verified(more))
+    links = links.union(more.filter("sure").select("a", "b")).union(texts.verified(more.filter("not sure").select("a", "b")))
     roots = components(links, tables)
     tables.drop(table, sketches, *texts.held, pairs, more)
     places = tables.write(_occurrences(docs), "places")
@@ -363,15 +367,18 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _close_across(mixed: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a key, in different components, that may be similar; each from its least shared key."""
+    """(a, b, sure) of lines that share a key, in different components, that may be similar, or surely are; each from its
+    least shared key."""
     by_line = mixed.groupBy("line", "root").agg(F.collect_set("key").alias("keys"))  # a line has ``BANDS`` keys
     known = by_line.join(sketches, "line").join(sets, "line", "left").select("line", "root", "keys", "sketch", "set", F.explode("keys").alias("key"))
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") < F.col("r.line")) & (F.col("l.root") != F.col("r.root"))
     least = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
-    both = F.size(F.array_intersect("l.set", "r.set"))
-    # equal hashes of unlike shingles could hide a link of exactly the threshold; a hundredth is far more than they make
-    similar_ = F.col("l.set").isNull() | F.col("r.set").isNull() | (both >= (SIMILARITY - 0.01) * (F.size("l.set") + F.size("r.set") - both))
-    return known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least & similar_).select(F.col("l.line").alias("a"), F.col("r.line").alias("b"))
+    both, each = F.size(F.array_intersect("l.set", "r.set")), F.size("l.set") + F.size("r.set")
+    # with up to SLACK equal hashes of unlike shingles, sets are larger and share more or less by as many
+    open_ = F.col("l.set").isNull() | F.col("r.set").isNull() | (both + SLACK >= SIMILARITY * (each - both - SLACK))
+    sure = F.coalesce(both - SLACK >= SIMILARITY * (each - both + 3 * SLACK), F.lit(False))
+    found = known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least & open_)
+    return found.select(F.col("l.line").alias("a"), F.col("r.line").alias("b"), sure.alias("sure"))
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Tables]:
