@@ -8,8 +8,8 @@ Lines that share a key are candidates, unless their signatures agree in less tha
 similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. Each
 line is first held against the smallest of its key (its leader); what is verified is linked, and components are
 formed. What still lies in different components of a key is joined with itself, the signatures in the join
-condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader and yet not
-similar are copies that differ by about as much as the threshold, and may be many: between two of these the
+condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader, similar or
+not, are copies that differ by about as much as the threshold, and may be many: between two of these the
 condition compares the shingles' hashes as well, so that only links come out, and few pairs that ``SLACK`` equal
 hashes of unlike shingles could decide. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
 is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, over the whole lines.
@@ -319,9 +319,8 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     links = texts.verified(pairs)
     roots = components(links, tables)
     mixed = tables.write(_mixed_keys(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), tables), "mixed")
-    near = pairs.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    sets = tables.write(_sets(texts.held[0].join(near, "line", "left_semi")), "sets")
-    # pairs tried above are linked, or both of their lines have sets that tell them apart
+    sets = tables.write(_sets(texts.held[0].join(mixed.select("line").distinct(), "line", "left_semi")), "sets")
+    # both lines of a pair tried above have sets, which tell them apart if they were not linked
     more = tables.write(_close_across(mixed, sketches, sets), "more")
     tables.drop(mixed, sets)
     tables.free()
