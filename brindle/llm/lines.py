@@ -9,8 +9,8 @@ similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingl
 line is first held against the smallest of its key (its leader); what is verified is linked, and components are
 formed. What still lies in different components of a key is joined with itself, the signatures in the join
 condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader, similar or
-not, are copies that differ by about as much as the threshold, and may be many: between two of these the
-condition compares the shingles' hashes as well, so that only links come out, and few pairs that ``SLACK`` equal
+not, are copies that differ by about as much as the threshold, and may be many: between two of these, in keys of
+more than ``FEW``, the condition compares the shingles' hashes as well, so that only links come out, and few pairs that ``SLACK`` equal
 hashes of unlike shingles could decide. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
 is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, over the whole lines.
 Within a component only the first line by (doc_id, line number) stays.
@@ -51,6 +51,8 @@ SIMILARITY = 0.8
 CHUNK = 1 << 15
 #: Rows of keys in a batch.
 ROWS_OUT = 1 << 16
+#: Rows of a key up to which its close pairs all go to the texts.
+FEW = 16
 #: Equal hashes (of 32 bits) of unlike shingles that a pair is allowed; more have a probability below 1e-18.
 SLACK = 3
 #: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
@@ -332,9 +334,9 @@ def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def _mixed_keys(named: DataFrame, tables: Tables) -> DataFrame:
-    """The rows (key, line, root) of keys with lines of several components."""
+    """The rows (key, line, root, n) of keys with lines of several components; n: rows of the key."""
     named = tables.write(named, "named")
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
     return named.join(tables.write(mixed, "mixed-keys"), "key")
 
 
@@ -368,8 +370,10 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def _close_across(mixed: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, sure) of lines that share a key, in different components, that may be similar, or surely are; each from its
     least shared key."""
-    by_line = mixed.groupBy("line", "root").agg(F.collect_set("key").alias("keys"))  # a line has ``BANDS`` keys
-    known = by_line.join(sketches, "line").join(sets, "line", "left").select("line", "root", "keys", "sketch", "set", F.explode("keys").alias("key"))
+    by_line = mixed.groupBy("line", "root").agg(F.collect_set(F.struct("key", "n")).alias("x"))  # a line has ``BANDS`` keys
+    known = by_line.join(sketches, "line").join(sets, "line", "left").select("line", "root", F.col("x.key").alias("keys"), "sketch", "set", F.explode("x").alias("x"))
+    # keys of few lines have few pairs: sets needn't travel there
+    known = known.select("line", "root", "keys", "sketch", F.when(F.col("x.n") > FEW, F.col("set")).alias("set"), F.col("x.key").alias("key"))
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") < F.col("r.line")) & (F.col("l.root") != F.col("r.root"))
     least = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
     both, each = F.size(F.array_intersect("l.set", "r.set")), F.size("l.set") + F.size("r.set")
