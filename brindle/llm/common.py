@@ -116,12 +116,13 @@ class Memo(dict):
         self.update(values)
 
 
-#: Bytes of a dictionary for each entry, its empty places included.
-SLOT = 100
+#: Bytes of a dictionary for each entry, its empty places and a number or two included.
+SLOT = 130
 
 
 def _bytes(x) -> int:
-    return getsizeof(x) + sum(map(_bytes, x)) if type(x) is tuple else getsizeof(x)
+    """Bytes of a text or of a tuple with what it holds; numbers in tuples are taken to be shared or few."""
+    return getsizeof(x) + sum([_bytes(y) for y in x if type(y) is not int]) if type(x) is tuple else getsizeof(x)
 
 
 #: Per worker process: memos outlive a task when Spark reuses the worker.

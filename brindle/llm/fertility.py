@@ -98,10 +98,11 @@ class Vocabularies:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.byte_level = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = [self.sp.is_byte(i) for i in range(self.sp.get_piece_size())]
+        self.ids = list(range(self.sp.get_piece_size()))  # one object for each id, which all memos share
 
     def measure(self, word: str) -> tuple[tuple[int, ...], int, int]:
         """Piece ids, how many of them are bytes, and the number of byte-level tokens."""
-        ids = tuple(self.sp.encode(word))
+        ids = tuple(map(self.ids.__getitem__, self.sp.encode(word)))
         return ids, sum(map(self.is_byte.__getitem__, ids)), len(self.byte_level.encode_ordinary(word))
 
 
@@ -159,7 +160,7 @@ class Rater:
 
     def __call__(self, texts: list, langs: list) -> Iterator[tuple]:
         v = per_process(("fertility", *self.paths), lambda: Vocabularies(*self.paths))
-        memo = per_process(("fertility-words", *self.paths), lambda: Memo(v.measure, 64 << 20))
+        memo = per_process(("fertility-words", *self.paths), lambda: Memo(v.measure, 96 << 20))
         table = {k: Band(*b) for k, b in self.plain.items()}
         for t, g in zip(texts, langs, strict=True):
             t = t or ""
