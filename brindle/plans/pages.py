@@ -59,11 +59,11 @@ def inline_scripts(spark, sf_dir):
     return _scripts(spark, sf_dir).select("page_id", "pos", "body", F.length("body").alias("size"))
 
 
-@query(f"select page_id, url || case when contains(url, '?') then '&' else '?' end || '__bi_inline=' || pos || '&__bi_h=' || left(sha1(body), 8) asset_url from ({SCRIPTS})")
+@query(f"select page_id, url || case when contains(url, '?') then '&' else '?' end || '__inline=' || pos || '&__inline_hash=' || left(sha1(body), 8) asset_url from ({SCRIPTS})")
 def inline_asset_url(spark, sf_dir):
     mark = F.when(F.contains("url", F.lit("?")), "&").otherwise("?")
     return _scripts(spark, sf_dir).select(
-        "page_id", F.concat("url", mark, F.lit("__bi_inline="), F.col("pos").cast("string"), F.lit("&__bi_h="), F.substring(F.sha1("body"), 1, 8)).alias("asset_url")
+        "page_id", F.concat("url", mark, F.lit("__inline="), F.col("pos").cast("string"), F.lit("&__inline_hash="), F.substring(F.sha1("body"), 1, 8)).alias("asset_url")
     )
 
 
