@@ -8,14 +8,17 @@ travels as one row. Three joins do the work:
 1. minimizers of all packets are grouped; those met once can hold no repeated window and go;
 2. packets whose minimizer is met again are cut from their documents (join by doc_id), grouped by
    (minimizer, window hash), and each window learns its first place, by doc_id and then by start;
-3. windows that are not first go back to their documents (join by doc_id), where runs of them whose first
-   places are consecutive too compact into one path: a span with its source coordinates. A span is checked
-   window by window against the source's coordinates; what does not follow them starts a path of its own.
+3. windows that are not first compact into paths, across packets, as long as their first places follow each
+   other: a span with its source coordinates. Spans and the distinct places at their sources go back to
+   their documents (one join by doc_id); each side gives a 128-bit digest of its words, and an anti-join
+   finds spans whose words are not those at the source.
 
 A group of one (minimizer, window) is a sorted stream, never a collected list. Minimizers met more than
 ``HOT`` times are reduced by a pre-aggregated minimum and joined back, so that no task gets all of a hot
-passage. Windows are judged on the input. Two windows count as equal if a 64-bit hash of the window and
-that of a run inside it agree. Finished stages are written to the shared folder.
+passage. Windows are judged on the input. Two windows are first taken as equal if a 64-bit hash of the window
+and that of a run inside it agree; if the words at the source turn out to be others, no span with that source
+and length is removed. A branch of the graph ends a path only where the first places part there. Finished
+stages are written to the shared folder.
 
 Defined cases: null texts and texts of fewer words than a window lose nothing; rows that repeat both
 doc_id and text are one document (each row gets the result of the first); rows that repeat only the doc_id
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -172,54 +175,101 @@ def _judged(docs: DataFrame, tables: Tables) -> DataFrame:
     return out
 
 
-def spans_of(start: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Starts of windows that are not first, ascending."""
-    return np.unique(np.concatenate([start[(later >> o) & 1 == 1] + o for o in range(PACKET)])) if len(start) else np.zeros(0, np.int64)
+def _bits(later: Column) -> Column:
+    return F.filter(F.sequence(F.lit(0), F.lit(PACKET - 1)), lambda o: later.bitwiseAND(F.call_function("shiftleft", F.lit(1), o)) != 0)
 
 
-def covered(starts: np.ndarray, n: int) -> np.ndarray:
-    """Which of ``n`` words a window from ``starts`` covers."""
+def _compacted(docs: DataFrame, tables: Tables) -> DataFrame:
+    """Paths across packets: (doc_id, th, start, n, source_doc, source_start), ``n`` windows from ``start`` whose first
+    places follow each other from ``source_start``."""
+    keys = ["doc_id", "th", "source_doc", "shift"]
+    one = _judged(docs, tables).select(*keys, "start", F.explode(_bits(F.col("later"))).alias("o")).select(*keys, (F.col("start") + F.col("o")).alias("s"))
+    island = one.withColumn("island", F.col("s") - F.row_number().over(W.partitionBy(*keys).orderBy("s")))
+    path = island.groupBy(*keys, "island").agg(F.min("s").alias("start"), F.count("*").cast("int").alias("n"))
+    return path.select("doc_id", "th", "start", "n", "source_doc", (F.col("start") + F.col("shift")).alias("source_start"))
+
+
+def covered(starts: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words the paths of ``counts`` windows from ``starts`` cover."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
+    np.add.at(edge, starts + counts + WINDOW - 1, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+#: A path as its document has it (own), and the words at a source as the source has them (there).
+DIGESTS = "own array<struct<source_doc:long,source_start:int,n:int,digest:binary>>, there array<struct<start:int,n:int,digest:binary>>"
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by a space)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tables = Tables(docs.sparkSession, "debruijn")
-    later = _judged(docs, tables).select("doc_id", "th", "start", "later")
-    mine = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "later")).alias("later"))
-    mine = tables.write(mine.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("later.start").alias("start"), F.col("later.later").alias("later")), "later")
-    tables.free()
-    joined = docs.withColumn("th", F.xxhash64("text")).join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+def _without(docs: DataFrame, paths: DataFrame, with_text: bool) -> DataFrame:
+    """SCHEMA and DIGESTS: documents without the words of ``paths``, in one pass that also reads the words of each path
+    and those at its source."""
+    none = F.lit(None).cast("long")
+    source = paths.select(F.col("source_doc").alias("doc_id"), none.alias("th"), F.col("source_start").alias("start"), "n", none.alias("source_doc"), F.lit(None).cast("int").alias("source_start"))
+    place = F.collect_list(F.struct("th", "start", "n", "source_doc", "source_start"))
+    listed = paths.unionByName(source.distinct()).groupBy("doc_id").agg(place.alias("p"))
+    listed = listed.select(F.col("doc_id").alias("d"), *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("th", "start", "n", "source_doc", "source_start")))
+    joined = docs.withColumn("th", F.xxhash64("text")).join(listed, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+
+    def digest(words: list[str]) -> bytes:
+        return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-    def rows(ids, texts, starts, laters):
-        for i, t, s, b in zip(ids, texts, starts, laters, strict=True):
+    def rows(ids, hashes, texts, *lists):
+        for i, th, t, *path in zip(ids, hashes, texts, *lists, strict=True):
             words = WORDS.findall(t or "")
-            kept = words
-            if s:
-                gone = covered(spans_of(np.array(s, np.int64), np.array(b, np.int64)), len(words)).tolist()
+            kept, own, there, starts, counts = words, [], [], [], []
+            for h, s, n, source_doc, source_start in zip(*path, strict=True) if path[0] else ():
+                end = s + n + WINDOW - 1
+                if h is None:
+                    there.append((s, n, digest(words[s:end])))
+                elif h == th:
+                    own.append((source_doc, source_start, n, digest(words[s:end])))
+                    starts.append(s)
+                    counts.append(n)
+            if starts:
+                gone = covered(np.array(starts), np.array(counts), len(words)).tolist()
                 kept = [w for w, g in zip(words, gone, strict=True) if not g]
             out = " ".join(kept)
-            yield i, len(words), len(words) - len(kept), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest(), out if with_text else None
+            sha = hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest()
+            yield i, len(words), len(words) - len(kept), sha, out if with_text else None, own, there
 
-    return map_rows(joined, ["doc_id", "text", "start", "later"], rows, SCHEMA)
+    return map_rows(joined, ["doc_id", "th", "text", "p_th", "p_start", "p_n", "p_source_doc", "p_source_start"], rows, f"{SCHEMA}, {DIGESTS}")
+
+
+def _unlike(done: DataFrame) -> DataFrame:
+    """(source_doc, source_start, n, digest) of paths whose words are not those at their source."""
+    own = done.select(F.explode("own").alias("p")).select("p.*").distinct()
+    there = done.select(F.col("doc_id").alias("t_doc"), F.explode("there").alias("p")).select("t_doc", F.col("p.start").alias("t_start"), F.col("p.n").alias("t_n"), F.col("p.digest").alias("t_digest"))
+    same = F.col("source_doc").eqNullSafe(F.col("t_doc")) & (F.col("source_start") == F.col("t_start")) & (F.col("n") == F.col("t_n")) & (F.col("digest") == F.col("t_digest"))
+    return own.join(there, same, "left_anti")
+
+
+def remove_paths(docs: DataFrame, paths: DataFrame, tables: Tables, with_text: bool = True) -> DataFrame:
+    """SCHEMA: documents without the words of those ``paths`` whose words equal the words at their source."""
+    done = tables.write(_without(docs, paths, with_text), "done")
+    tables.free()
+    unlike = _unlike(done)
+    if not unlike.isEmpty():
+        # Hashes agreed and words do not: all paths with that source and length go, but for those that are like it.
+        unlike = unlike.select(F.col("source_doc").alias("u_doc"), F.col("source_start").alias("u_start"), F.col("n").alias("u_n")).distinct()
+        at = F.col("source_doc").eqNullSafe(F.col("u_doc")) & (F.col("source_start") == F.col("u_start")) & (F.col("n") == F.col("u_n"))
+        done = _without(docs, paths.join(tables.write(unlike, "unlike"), at, "left_anti"), with_text)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by a space)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    tables = Tables(docs.sparkSession, "debruijn")
+    paths = tables.write(_compacted(docs, tables), "paths")
+    tables.free()
+    return remove_paths(docs, paths, tables, with_text)
 
 
 def repeated_paths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Compacted paths: (doc_id, start, n_windows, source_doc, source_start), the words from ``start`` being
     those from ``source_start`` of the first document that has them."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    tables = Tables(docs.sparkSession, "debruijn")
-    rows = _judged(docs, tables)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(PACKET - 1)), lambda o: F.expr("later").bitwiseAND(F.call_function("shiftleft", F.lit(1), o)) != 0)
-    keys = ["doc_id", "th", "source_doc", "shift"]
-    one = rows.select(*keys, "start", F.explode(bits).alias("o")).select(*keys, (F.col("start") + F.col("o")).alias("s"))
-    island = one.withColumn("island", F.col("s") - F.row_number().over(W.partitionBy(*keys).orderBy("s")))
-    path = island.groupBy(*keys, "island").agg(F.min("s").alias("start"), F.count("*").alias("n_windows"))
-    return path.select("doc_id", "start", "n_windows", "source_doc", (F.col("start") + F.col("shift")).alias("source_start"))
+    paths = _compacted(docs, Tables(docs.sparkSession, "debruijn"))
+    return paths.select("doc_id", "start", F.col("n").alias("n_windows"), "source_doc", "source_start")

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brindle.llm import debruijn
+from brindle.llm.common import Tables
 from tests.llm.helpers import ODD, SF, empty_docs, odd_docs, same_as_oracle
 
 
@@ -67,6 +69,15 @@ def test_paths_follow_their_source(spark):
     assert {i: len(g) for i, g in gone.items()} == {i: n for i, _, n, _ in brute(docs)}
 
 
+def test_paths_unlike_their_source_stay(spark):
+    docs = spark.createDataFrame([(1, "a b " * 20), (2, "a b " * 19 + "a c"), (None, "q " * 30), (4, "z " + "q " * 30)], "doc_id long, text string")
+    rows = [(2, "a b " * 19 + "a c", 0, 21, 1, 0), (4, "z " + "q " * 30, 1, 11, None, 0)]
+    paths = spark.createDataFrame(rows, "doc_id long, t string, start int, n int, source_doc long, source_start int")
+    paths = paths.select("doc_id", F.xxhash64("t").alias("th"), "start", "n", "source_doc", "source_start")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in debruijn.remove_paths(docs, paths, Tables(spark, "t")).collect()}
+    assert got[2] == (0, ("a b " * 19 + "a c")) and got[4] == (30, "z") and got[1][0] == got[None][0] == 0
+
+
 def test_query_equals_oracle(spark):
     assert len(same_as_oracle(spark, "op9_debruijn_spans")) == 200
 
