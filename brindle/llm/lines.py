@@ -49,6 +49,8 @@ BANDS, ROWS = 18, 6
 SIMILARITY = 0.8
 #: Characters hashed at a time: what fits in a core's cache.
 CHUNK = 1 << 15
+#: Hashes of sets in a batch.
+SET_HASHES = 1 << 20
 #: Rows of keys in a batch.
 ROWS_OUT = 1 << 16
 #: Rows of a key up to which its close pairs all go to the texts.
@@ -343,11 +345,27 @@ def _mixed_keys(named: DataFrame, tables: Tables) -> DataFrame:
 def _sets(texts: DataFrame) -> DataFrame:
     """(line, hashes of its distinct shingles)."""
 
-    def rows(lines, contents):
-        for i, t in zip(lines, contents, strict=True):
-            yield i, np.unique(_hashes(_points(_padded(t))) >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("lines")
+
+        def out() -> pa.RecordBatch:
+            starts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(sets).view(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["line", "set"])
+
+        ids, sets, size = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
+                ids.append(i)
+                sets.append(np.unique((_hashes(_points(_padded(t.as_py()))) >> np.uint64(32)).astype(np.uint32)))
+                size += len(sets[-1])
+                if size >= SET_HASHES:
+                    yield out()
+                    ids, sets, size = [], [], 0
+        if ids:
+            yield out()
 
-    return map_rows(texts, ["line", "content"], rows, "line long, set array<int>")
+    return texts.select("line", "content").mapInArrow(run, "line long, set array<int>")
 
 
 def _may_be_similar(x: str, y: str):
