@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Memo, Tables, map_rows, per_process
+from .common import WORD, Memo, Tables, map_rows, per_process, split_words
 
 WINDOW = 20
 KMER = 8
@@ -103,13 +103,14 @@ def _minimizers(docs: DataFrame) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             ids = batch.column(0)
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                words = WORDS.findall(t or "")
-                if len(words) < WINDOW:
-                    continue
-                windows, least, start, length = packets(word_hashes(words))
-                _, inverse, count = np.unique(windows, return_inverse=True, return_counts=True)
-                twice = np.maximum.reduceat(count[inverse] > 1, start) if len(count) < len(windows) else np.zeros(len(start), bool)
+            codes, distinct, before = split_words(batch.column(1))
+            hashes = word_hashes(distinct)[codes]
+            for k in np.flatnonzero(np.diff(before) >= WINDOW).tolist():
+                windows, least, start, length = packets(hashes[before[k] : before[k + 1]])
+                ordered = np.sort(windows)
+                twice = np.zeros(len(start), bool)
+                if len(again := np.unique(ordered[1:][ordered[1:] == ordered[:-1]])):
+                    twice = np.maximum.reduceat(np.isin(windows, again), start)
                 cols[0].append(least[start].view(np.int64))
                 cols[1].append(pa.concat_arrays([ids.slice(k, 1)]).take(pa.array(np.zeros(len(start), np.int32))))
                 cols[2].append(start.astype(np.int32))
