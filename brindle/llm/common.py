@@ -187,6 +187,10 @@ def _delete_roots() -> None:
             _delete(spark, path)
 
 
+#: Spark deletes a query's shuffle files when the query ends; a written table does not need them.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Tables:
     """Tables written to the shared folder, to cut lineage; a lost executor loses none of their rows. An operator drops
     what its result does not read; the rest goes when the driver ends."""
@@ -202,7 +206,13 @@ class Tables:
 
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        conf = self.spark.conf
+        before = conf.get(CLEAN_SHUFFLES, None)
+        conf.set(CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEAN_SHUFFLES) if before is None else conf.set(CLEAN_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._brindle_path = path
         return out
