@@ -15,6 +15,9 @@ Decoding. Ids are fed one at a time; bytes run through a UTF-8 state machine tha
 as it is whole, with U+FFFD for what can't be part of any character. A tokenizer file without a decoder
 gives token strings joined by one space, as its library's ``decode`` does.
 
+A table is encoded in slices of texts: the distinct words of a slice are cut into pieces, and its distinct pieces go
+through the transducer in lockstep, a position of all pieces at a time (``Lockstep``).
+
 Defined cases: a null or empty text has no ids and decodes to the empty string; equal texts have equal
 ids; a word of any length is encoded in time linear in it with a buffer of bounded length; an empty table
 gives no rows.
@@ -27,10 +30,14 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import Memo, map_rows, per_process
+from .common import Memo, per_process, slices, split_words
 
 INF = 1 << 60
 #: Longer words are encoded without a place in the memo.
@@ -40,6 +47,7 @@ MEMO_CHARS = 64
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 LETTER = "a-zA-ZÀ-ÖØ-öø-ɏ"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
+SPLIT_WORDS = re.compile(f"{SPLIT.pattern}| ")
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -56,6 +64,18 @@ def byte_chars() -> list[str]:
     return out
 
 
+#: The stand-ins of bytes from 128 on; printable ASCII stands for itself.
+BYTE_CHARS = dict(enumerate(byte_chars()[128:], 128))
+
+
+def plain_pieces(words: list[str]) -> tuple[list[str], list[int]]:
+    """(the distinct pieces of plain words, the numbers of each word's pieces). Number 0 is a space, which stands between
+    words; bytes of the other pieces are in their stand-ins."""
+    found = pa.array([" ", *SPLIT_WORDS.findall(" ".join(words).lower())], pa.large_string()).dictionary_encode()
+    pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in found.dictionary.to_pylist()]
+    return pieces, found.indices[1:].to_pylist()
+
+
 class Merges:
     """A merge list over vocabulary strings, with what streaming needs of it."""
 
@@ -65,9 +85,9 @@ class Merges:
         for i, (a, b) in enumerate(merges):
             self.rank.setdefault((a, b), i)
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
-        self._trees: dict[str, tuple | None] = {}
+        self._edges = Memo(self.edges, 8 << 20)
         self._pairs = Memo(lambda p: self._compatible(*p), 16 << 20)
-        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 24 << 20)
+        self._prefixes = Memo(lambda p: self._last(p, len(p), ""), 16 << 20)
         self._lookahead: int | None = None
         self._good: dict[str, int] | None = None
         self._lengths: dict = {}  # by the last two symbols of a token: lengths of such tokens, longest first
@@ -91,28 +111,25 @@ class Merges:
             parts[i : i + 2] = [(a[0] + b[0], best, a, b)]
         return parts
 
-    def edges(self, token: str) -> tuple[list, list] | None:
+    def edges(self, token: str) -> tuple[tuple, tuple] | None:
         """Left and right edge of a token while it is built: (part, rank at which it is taken up).
 
         None if the token does not encode to itself, so no encoding has it."""
-        if token not in self._trees:
-            parts = self.merge(self._symbols(token))
-            found = None
-            if len(parts) == 1 and parts[0][0] in self.vocab:
-                left, right = [], []
-                for out, side in ((left, 2), (right, 3)):
-                    node, taken = parts[0], INF
-                    while node:
-                        out.append((node[0], taken))
-                        node, taken = node[side], node[1]
-                found = (left, right)
-            self._trees[token] = found
-        return self._trees[token]
+        parts = self.merge(self._symbols(token))
+        if len(parts) > 1 or parts[0][0] not in self.vocab:
+            return None
+        left, right = [], []
+        for out, side in ((left, 2), (right, 3)):
+            node, taken = parts[0], INF
+            while node:
+                out.append((node[0], taken))
+                node, taken = node[side], node[1]
+        return tuple(left), tuple(right)
 
     def _compatible(self, a: str, b: str) -> bool:
         rank = self.rank.get
-        for x, x_taken in self.edges(a)[1]:
-            for y, y_taken in self.edges(b)[0]:
+        for x, x_taken in self._edges[a][1]:
+            for y, y_taken in self._edges[b][0]:
                 r = rank((x, y))
                 # at equal rank the pair further left goes first
                 if r is not None and r < x_taken and r <= y_taken:
@@ -222,6 +239,110 @@ class Merges:
         return live[0][:k] if live else []
 
 
+class Lockstep:
+    """The transducer over many short words at once: the last token of each prefix, position by position. Candidates for a
+    position are the tokens met on a walk back from it through a trie of reversed tokens."""
+
+    #: Pairs of tokens whose compatibility is remembered, at most.
+    PAIRS = 1 << 18
+
+    def __init__(self, merges: Merges):
+        good, end = merges._self_encoding(), merges.end
+        self.merges, self.tokens = merges, [*good]
+        self.size = np.fromiter(good.values(), np.int64, len(good))
+        chars: dict[str, int] = {}
+        trie: dict[tuple[int, int], int] = {}
+        token_at = [-1, -1]  # the roots: of tokens without the end mark and with it
+        for i, t in enumerate(self.tokens):
+            marked = bool(end) and t.endswith(end) and len(t) > len(end)
+            node = int(marked)
+            for c in reversed(t[: -len(end)] if marked else t):
+                step = node, chars.setdefault(c, len(chars) + 1)
+                node = trie.setdefault(step, len(token_at))
+                if node == len(token_at):
+                    token_at.append(-1)
+            token_at[node] = i
+        self.code = np.zeros(max(map(ord, chars), default=0) + 2, np.int64)  # 0: in no token
+        for c, k in chars.items():
+            self.code[ord(c)] = k
+        self.width = len(chars) + 1
+        keys = np.array([a * self.width + c for a, c in trie], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.nodes = np.append(keys[order], -1), np.append(np.fromiter(trie.values(), np.int32, len(trie))[order], -1)
+        self.token_at = np.array(token_at, np.int32)
+        self.known, self.fits = np.array([1 << 62]), np.zeros(1, bool)
+
+    def _compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a * len(self.tokens) + b
+        at = np.searchsorted(self.known, pair)
+        if len(new := np.unique(pair[self.known[at] != pair])):
+            if len(self.known) + len(new) > self.PAIRS:
+                self.known, self.fits = self.known[-1:], self.fits[-1:]
+                new = np.unique(pair)
+            fits = [self.merges._compatible(self.tokens[p // len(self.tokens)], self.tokens[p % len(self.tokens)]) for p in new.tolist()]
+            known, fits = np.concatenate((self.known, new)), np.concatenate((self.fits, np.array(fits, bool)))
+            order = np.argsort(known)
+            self.known, self.fits = known[order], fits[order]
+            at = np.searchsorted(self.known, pair)
+        return self.fits[at]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the tokens of all words, tokens before each word and at the end)."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(-sizes, kind="stable")  # words that reach a position come first
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        codes = self.code[np.minimum(points, len(self.code) - 1)]
+        start, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        most = int(length[0]) if len(words) else 0
+        reach = np.searchsorted(-length, -np.arange(most + 2), "right")  # words of so many symbols or more
+        base = np.concatenate(([0], np.cumsum(reach[1:])))  # where the prefixes of a length begin
+        last = np.full(int(base[most]), -1, np.int64)
+        for k in range(1, most + 1):
+            last[base[k - 1] : base[k]] = self._position(k, codes, start, base, last, reach[k], reach[k + 1])
+        where, at = np.arange(len(words)), length.copy()
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(where):
+            token = last[base[at - 1] + where]
+            steps.append((where, token))
+            at = at - self.size[token]
+            where, at = where[at > 0], at[at > 0]
+        count = np.zeros(len(words), np.int64)
+        for where, _ in steps:
+            count[order[where]] += 1
+        ends = np.concatenate(([0], np.cumsum(count)))
+        out = np.zeros(int(ends[-1]), np.int64)
+        for back, (where, token) in enumerate(steps, 1):  # from the last token to the first
+            out[ends[order[where] + 1] - back] = token
+        return out, ends
+
+    def _position(self, k: int, codes: np.ndarray, start: np.ndarray, base: np.ndarray, last: np.ndarray, n: int, longer: int) -> np.ndarray:
+        """The last token of the first ``k`` symbols of each of the first ``n`` words; all but ``longer`` of them end there."""
+        word = np.arange(n)
+        node = (word >= longer).astype(np.int64)
+        met = []
+        for size in range(1, k + 1):
+            step = node * self.width + codes[start[word] + k - size]
+            at = np.searchsorted(self.keys[:-1], step)
+            on = self.keys[at] == step
+            word, node = word[on], self.nodes[at[on]].astype(np.int64)
+            if not len(word):
+                break
+            token = self.token_at[node]
+            is_token = token >= 0
+            met.append((size, word[is_token], token[is_token].astype(np.int64)))
+        out = np.full(n, -1, np.int64)
+        for size, word, token in reversed(met):
+            free = out[word] < 0
+            word, token = word[free], token[free]
+            if len(word) and size < k:
+                good = self._compatible(last[base[k - size - 1] + word], token)
+                word, token = word[good], token[good]
+            out[word] = token
+        if (out < 0).any():
+            raise ValueError("a symbol is not in the vocabulary")
+        return out
+
+
 class WordBpe:
     """A tokenizer file with byte-level words and an end mark: words in, ids out."""
 
@@ -233,7 +354,8 @@ class WordBpe:
         self.end = m.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = m["vocab"]
         self.merges = Merges(self.vocab, [tuple(x) if not isinstance(x, str) else tuple(x.split(" ")) for x in m["merges"]], self.end)
-        library = Tokenizer.from_str(spec)
+        # the library's normaliser and splitter alone, without its copy of the vocabulary
+        library = Tokenizer.from_str(json.dumps(j | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.normalise = library.normalizer.normalize_str
         self.pieces_of = library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
@@ -334,35 +456,89 @@ class IdDecoder:
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Words encoded and digested at a time: the text's ids are never held whole.
+#: Words joined and digested at a time: the text's ids are never held whole.
 CHUNK_WORDS = 1 << 14
+#: Bytes of texts whose distinct words are encoded together.
+SLICE_BYTES = 6 << 20
+
+
+class WordStrings:
+    """Ids of words, and what these decode to, as strings joined by spaces. A bounded memo keeps pieces."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.decoder = bpe, IdDecoder(bpe.tokens, bpe.end)
+        self.steps = Lockstep(bpe.merges)
+        self.ids = [str(bpe.vocab[t]) for t in self.steps.tokens]
+        self.memo = Memo(lambda piece: " ".join(map(str, bpe._encode_piece(piece))), 40 << 20)
+
+    def _pieces(self, pieces: list[str]) -> list[str]:
+        """Ids of distinct pieces."""
+        memo, out = self.memo, list(map(self.memo.get, pieces))
+        fresh: dict[str, str] = {}
+        new = []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            p = pieces[k]
+            if (x := memo.old.get(p)) is not None:
+                out[k] = fresh[p] = x
+            elif len(p) <= MEMO_CHARS:
+                new.append(k)
+            else:
+                out[k] = memo.compute(p)
+        tokens, ends = self.steps.encode([pieces[k] for k in new])
+        ids, ends = list(map(self.ids.__getitem__, tokens.tolist())), ends.tolist()
+        for k, a, b in zip(new, ends, ends[1:], strict=False):
+            out[k] = fresh[pieces[k]] = " ".join(ids[a:b])
+        memo.put_all(fresh, sum(map(len, fresh)) + sum(map(len, fresh.values())) + 122 * len(fresh))
+        return out
+
+    def _decoded(self, ids: str) -> str:
+        self.decoder.first = True
+        return self.decoder.feed(map(int, ids.split(" "))) if ids else ""
+
+    def of(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """(ids, their decoding) of distinct words."""
+        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w) and "<|" not in w]
+        ids, texts = [""] * len(words), [""] * len(words)
+        if plain:
+            pieces, places = plain_pieces([words[k] for k in plain])
+            # a line feed is in no id and no stand-in
+            got = ["\n", *self._pieces(pieces[1:])]
+            read = ["\n", *map(self._decoded, got[1:])]
+            for out, by_piece in ((ids, got), (texts, read)):
+                for k, x in zip(plain, " ".join(map(by_piece.__getitem__, places)).split(" \n "), strict=True):
+                    out[k] = x
+        for k in sorted(set(range(len(words))).difference(plain)):
+            ids[k] = " ".join(map(str, self.bpe.encode_word(words[k])))
+            texts[k] = self._decoded(ids[k])
+        return ids, texts
 
 
 def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the number of its ids, the digest of the ids, the digest of their decoding."""
     held = docs.sparkSession.sparkContext.broadcast(spec)  # the vocabulary file; its size does not follow the data
     key = hashlib.sha256(spec.encode()).hexdigest()
-
-    def rows(ids, texts):
-        bpe = per_process(("bpe", key), lambda: WordBpe(held.value))
-        ids_of = lambda w: " ".join(map(str, bpe.encode_word(w.decode("utf-8", "replace"))))
-        memo = per_process(("bpe-words", key), lambda: Memo(ids_of, 56 << 20))
-        names = per_process(("bpe-names", key), lambda: {str(i): t for i, t in bpe.tokens.items()})
-        for i, t in zip(ids, texts, strict=True):
-            n, sha_ids, sha_text = 0, hashlib.sha256(), hashlib.sha256()
-            decoder = IdDecoder(names, bpe.end)
-            words = (t or b"").split()  # bytes split at ASCII white space alone
-            for at in range(0, len(words), CHUNK_WORDS):
-                chunk = words[at : at + CHUNK_WORDS]
-                if max(map(len, chunk)) <= MEMO_CHARS:
-                    out = " ".join(filter(None, map(memo.__getitem__, chunk)))
-                else:
-                    out = " ".join(filter(None, (memo[w] if len(w) <= MEMO_CHARS else ids_of(w) for w in chunk)))
-                if out:
-                    got = out.split(" ")
-                    sha_ids.update((" " + out if n else out).encode())
-                    sha_text.update(decoder.feed(got).encode())
-                    n += len(got)
-            yield i, n, sha_ids.hexdigest(), sha_text.hexdigest()
-
-    return map_rows(docs.select(doc_id, F.col(text).cast("binary").alias(text)), [doc_id, text], rows, SCHEMA)
+    schema = _parse_datatype_string(SCHEMA)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = per_process(("bpe-words", key), lambda: WordStrings(WordBpe(held.value)))
+        for batch in batches:
+            for few in slices(batch, 1, SLICE_BYTES):
+                index, words, before = split_words(few.column(1))
+                ids, texts = strings.of(words)
+                some = None if all(ids) else (lambda x: x != "")  # words may have no ids
+                index, out = index.tolist(), []
+                for a, b in zip(before.tolist(), before[1:].tolist(), strict=False):
+                    n, sha_ids, sha_text = 0, hashlib.sha256(), hashlib.sha256()
+                    for at in range(a, b, CHUNK_WORDS):
+                        chunk = index[at : min(at + CHUNK_WORDS, b)]
+                        joined, decoded = (" ".join(x if some is None else filter(some, x)) for x in (map(ids.__getitem__, chunk), map(texts.__getitem__, chunk)))
+                        if joined:
+                            sha_ids.update((" " + joined if n else joined).encode())
+                            sha_text.update((" " + decoded if n else decoded).encode())
+                            n += joined.count(" ") + 1
+                    out.append((n, sha_ids.hexdigest(), sha_text.hexdigest()))
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([few.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, [*arrow][1:], strict=True))], schema=arrow)
+
+    return docs.select(doc_id, F.col(text).cast("string").alias(text)).mapInArrow(run, schema)

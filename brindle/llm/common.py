@@ -71,7 +71,21 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
     before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
     coded = words.filter(real).dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), before
+    try:
+        known = coded.dictionary.to_pylist()
+    except UnicodeDecodeError:  # Spark's strings are bytes that may be no UTF-8
+        known = [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    return coded.indices.to_numpy(), known, before
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of rows that hold about ``most`` bytes of a column of texts at most, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
@@ -154,6 +168,7 @@ def release(operator: str) -> None:
 def _give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -6,11 +6,15 @@ import json
 import random
 import re
 import time
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from brindle.llm import bpe, secrets, viterbi
+from brindle.llm.common import slices
 from brindle.llm.queries import _spec, queries
 from tests.llm.helpers import ODD, SF, empty_docs, odd_docs
 
@@ -173,6 +177,46 @@ def test_bpe_query(spark):
     assert bpe.digests(empty_docs(spark), _spec()).count() == 0
 
 
+def test_words_in_lockstep_equal_one_by_one():
+    ours = bpe.WordBpe(_spec())
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice(["the", "in", "a", "o", "u", "x", "q", "1", "Ã", "©", "!!"]) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    steps = bpe.Lockstep(ours.merges)
+    for some in (words, words[:1], []):  # the second time pairs are known
+        tokens, ends = steps.encode(some)
+        got = [[steps.tokens[i] for i in tokens[a:b]] for a, b in zip(ends, ends[1:])]
+        assert got == [ours.merges.tokens_of(w) for w in some]
+    steps.PAIRS = 10  # forgets all the time
+    assert steps.encode(words[:200])[0].tolist() == bpe.Lockstep(ours.merges).encode(words[:200])[0].tolist()
+    with pytest.raises(ValueError):
+        steps.encode(["the", "a日"])
+
+
+def test_strings_of_words_and_what_a_worker_holds():
+    lib = Tokenizer.from_str(_spec())
+    words = sorted({w for t in random_texts(800, 4) + [r[1] or "" for r in ODD] for w in bpe.SPACES.findall(t)} | {"a" * 5000, "don't", "I'LL", "<|endoftext|>x", "é" * 40})
+    tracemalloc.start()
+    strings = bpe.WordStrings(bpe.WordBpe(_spec()))
+    assert tracemalloc.get_traced_memory()[0] < 40 << 20  # trees of all tokens alone were more
+    tracemalloc.stop()
+    for _ in range(2):
+        for w, ids, text in zip(words, *strings.of(words), strict=True):
+            want = lib.encode(w, add_special_tokens=False).ids
+            assert (ids, text) == (" ".join(map(str, want)), lib.decode(want, skip_special_tokens=False)), w
+
+
+def test_slices_hold_so_many_bytes():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["aa", None, "bbbb", "c" * 50, "", "dd", "ddd"])], names=["doc_id", "text"])
+    got = [x.column(0).to_pylist() for x in slices(batch, 1, 6)]
+    assert got == [[0, 1, 2], [3], [4, 5, 6]] and not list(slices(batch.slice(0, 0), 1, 6))
+
+
+def test_strings_that_are_no_utf8(spark):
+    df = spark.sql("select 1L doc_id, cast(x'61ff20c3' as string) text")
+    ids = Tokenizer.from_str(_spec()).encode("a\ufffd \ufffd", add_special_tokens=False).ids
+    assert bpe.digests(df, _spec()).first().ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 # counts
 
 
