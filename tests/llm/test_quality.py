@@ -1,10 +1,12 @@
+import random
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers
 
-from brindle.llm import fertility
+from brindle.llm import common, fertility
 from brindle.llm.queries import queries
 from tests.llm.helpers import ODD, SF, empty_docs, odd_docs
 
@@ -55,3 +57,30 @@ def test_verdicts_on_labelled_rows(spark):
     rows = [r for r in queries()["op5_fertility_rules"](spark, sf).collect() if r.doc_id in labels and not r.base_failed]
     n = Counter((labels[r.doc_id], r.kept) for r in rows)
     assert n[1, False] == 0 and n[0, False] > 0
+
+
+def test_slices_measure_each_word_once(spark, monkeypatch):
+    """Rows do not depend on the slice a text is in, and a slice asks for each of its words once."""
+    rater, asked = fertility.Rater(*PATHS, fertility.BANDS), []
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    texts, langs = [r.text for r in rows] + [r[1] for r in ODD], [r.lang for r in rows] + [r[2] for r in ODD]
+    want = [next(rater([t], [g])) for t, g in zip(texts, langs, strict=True)]
+    v = fertility.Vocabularies(*PATHS)
+    for t, r in zip(texts, want, strict=True):
+        got = [v.measure(w) for w in fertility.WORDS.findall(t or "")]
+        assert r[7:10] == (sum(len(x[0]) for x in got), sum(x[1] for x in got), sum(x[2] for x in got))
+        assert abs(r[10] - fertility.entropy(list(Counter(i for x in got for i in x[0]).values()))) < 1e-9
+    packed = fertility.Vocabularies.packed
+    monkeypatch.setattr(fertility.Vocabularies, "packed", lambda v, words: asked.extend(words) or packed(v, words))
+    monkeypatch.setattr(common, "_PER_PROCESS", {})
+    assert list(rater(texts, langs)) == want
+    assert sorted(asked) == sorted({w for t in texts for w in fertility.WORDS.findall(t or "")})
+    monkeypatch.setattr(fertility, "SLICE_CHARS", 5000)
+    assert list(rater(texts, langs)) == want
+
+
+def test_repeated_numbers():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        words = [rnd.choice((0, 1, 2, (1 << 21) - 1)) for _ in range(rnd.randint(0, 14))]
+        assert fertility.repeated_numbers(np.array(words, np.int64)) == fertility.repeated_words(words)
