@@ -68,12 +68,17 @@ def byte_chars() -> list[str]:
 BYTE_CHARS = dict(enumerate(byte_chars()[128:], 128))
 
 
-def plain_pieces(words: list[str]) -> tuple[list[str], list[int]]:
-    """(the distinct pieces of plain words, the numbers of each word's pieces). Number 0 is a space, which stands between
-    words; bytes of the other pieces are in their stand-ins."""
-    found = pa.array([" ", *SPLIT_WORDS.findall(" ".join(words).lower())], pa.large_string()).dictionary_encode()
+#: Words cut or joined at a time.
+FEW_WORDS = 10_000
+
+
+def plain_pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """(the distinct pieces of plain words, the numbers of each word's pieces). Number 0 is a space, which stands before
+    each word; bytes of the other pieces are in their stand-ins."""
+    texts = (" " + " ".join(words[at : at + FEW_WORDS]).lower() for at in range(0, len(words), FEW_WORDS))
+    found = pa.chunked_array([pa.array(SPLIT_WORDS.findall(t)) for t in texts], pa.string()).combine_chunks().dictionary_encode()
     pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in found.dictionary.to_pylist()]
-    return pieces, found.indices[1:].to_pylist()
+    return pieces, found.indices.to_numpy()
 
 
 class Merges:
@@ -459,7 +464,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words joined and digested at a time: the text's ids are never held whole.
 CHUNK_WORDS = 1 << 14
 #: Bytes of texts whose distinct words are encoded together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 class WordStrings:
@@ -469,7 +474,7 @@ class WordStrings:
         self.bpe, self.decoder = bpe, IdDecoder(bpe.tokens, bpe.end)
         self.steps = Lockstep(bpe.merges)
         self.ids = [str(bpe.vocab[t]) for t in self.steps.tokens]
-        self.memo = Memo(lambda piece: " ".join(map(str, bpe._encode_piece(piece))), 40 << 20)
+        self.memo = Memo(lambda piece: " ".join(map(str, bpe._encode_piece(piece))), 32 << 20)
 
     def _pieces(self, pieces: list[str]) -> list[str]:
         """Ids of distinct pieces."""
@@ -497,17 +502,21 @@ class WordStrings:
 
     def of(self, words: list[str]) -> tuple[list[str], list[str]]:
         """(ids, their decoding) of distinct words."""
-        plain = [k for k, w in enumerate(words) if PLAIN.fullmatch(w) and "<|" not in w]
+        plain = np.fromiter((PLAIN.fullmatch(w) is not None and "<|" not in w for w in words), bool, len(words))
         ids, texts = [""] * len(words), [""] * len(words)
-        if plain:
-            pieces, places = plain_pieces([words[k] for k in plain])
+        if plain.any():
+            pieces, places = plain_pieces(words if plain.all() else [w for w, x in zip(words, plain, strict=True) if x])
+            where, starts = np.flatnonzero(plain), np.append(np.flatnonzero(places == 0), len(places))
             # a line feed is in no id and no stand-in
-            got = ["\n", *self._pieces(pieces[1:])]
-            read = ["\n", *map(self._decoded, got[1:])]
-            for out, by_piece in ((ids, got), (texts, read)):
-                for k, x in zip(plain, " ".join(map(by_piece.__getitem__, places)).split(" \n "), strict=True):
-                    out[k] = x
-        for k in sorted(set(range(len(words))).difference(plain)):
+            by_ids = ["\n", *self._pieces(pieces[1:])]
+            by_text = ["\n", *map(self._decoded, by_ids[1:])]
+            for at in range(0, len(where), FEW_WORDS):
+                here = where[at : at + FEW_WORDS].tolist()
+                part = places[starts[at] + 1 : starts[at + len(here)]].tolist()
+                for out, by_piece in ((ids, by_ids), (texts, by_text)):
+                    for k, x in zip(here, " ".join(map(by_piece.__getitem__, part)).split(" \n "), strict=True):
+                        out[k] = x
+        for k in np.flatnonzero(~plain).tolist():
             ids[k] = " ".join(map(str, self.bpe.encode_word(words[k])))
             texts[k] = self._decoded(ids[k])
         return ids, texts
@@ -527,11 +536,11 @@ def digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "tex
                 index, words, before = split_words(few.column(1))
                 ids, texts = strings.of(words)
                 some = None if all(ids) else (lambda x: x != "")  # words may have no ids
-                index, out = index.tolist(), []
+                out = []
                 for a, b in zip(before.tolist(), before[1:].tolist(), strict=False):
                     n, sha_ids, sha_text = 0, hashlib.sha256(), hashlib.sha256()
                     for at in range(a, b, CHUNK_WORDS):
-                        chunk = index[at : min(at + CHUNK_WORDS, b)]
+                        chunk = index[at : min(at + CHUNK_WORDS, b)].tolist()
                         joined, decoded = (" ".join(x if some is None else filter(some, x)) for x in (map(ids.__getitem__, chunk), map(texts.__getitem__, chunk)))
                         if joined:
                             sha_ids.update((" " + joined if n else joined).encode())

@@ -67,10 +67,12 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
     Words lie between the six ASCII white-space characters; a null text has none. All in Arrow's own code."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    words = lists.flatten()
+    words, offsets = lists.flatten(), lists.offsets.to_numpy()
+    del lists
     real = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
-    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[lists.offsets.to_numpy()]
-    coded = words.filter(real).dictionary_encode()
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))[offsets]
+    coded = (words if pc.all(real).as_py() else words.filter(real)).dictionary_encode()
+    del words, real
     try:
         known = coded.dictionary.to_pylist()
     except UnicodeDecodeError:  # Spark's strings are bytes that may be no UTF-8
