@@ -47,6 +47,7 @@ MEMO_CHARS = 64
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
 LETTER = "a-zA-ZÀ-ÖØ-öø-ɏ"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s{LETTER}0-9]+")
+PLAIN_TEXT = re.compile(f"[ {PLAIN.pattern[1:]}")
 SPLIT_WORDS = re.compile(f"{SPLIT.pattern}| ")
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +73,17 @@ BYTE_CHARS = dict(enumerate(byte_chars()[128:], 128))
 FEW_WORDS = 10_000
 
 
+def plain_words(words: list[str], barred: str) -> np.ndarray:
+    """Which words (without ASCII white space) are plain and do not hold ``barred``; tried many at a time."""
+    out = np.ones(len(words), bool)
+    for at in range(0, len(words), 200):
+        few = words[at : at + 200]
+        text = " ".join(few)
+        if barred in text or not PLAIN_TEXT.fullmatch(text):
+            out[at : at + 200] = [PLAIN.fullmatch(w) is not None and barred not in w for w in few]
+    return out
+
+
 def plain_pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
     """(the distinct pieces of plain words, the numbers of each word's pieces). Number 0 is a space, which stands before
     each word; bytes of the other pieces are in their stand-ins."""
@@ -502,7 +514,7 @@ class WordStrings:
 
     def of(self, words: list[str]) -> tuple[list[str], list[str]]:
         """(ids, their decoding) of distinct words."""
-        plain = np.fromiter((PLAIN.fullmatch(w) is not None and "<|" not in w for w in words), bool, len(words))
+        plain = plain_words(words, "<|")
         ids, texts = [""] * len(words), [""] * len(words)
         if plain.any():
             pieces, places = plain_pieces(words if plain.all() else [w for w, x in zip(words, plain, strict=True) if x])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import MEMO_CHARS, PLAIN, SPLIT, byte_chars
+from .bpe import MEMO_CHARS, plain_pieces, plain_words
 from .common import Memo, Tables, map_rows, per_process, split_words
 
 MAGIC = b"BRP1"
@@ -48,8 +48,6 @@ CODES = 1 << 16
 #: Pairs of a round at most, which bounds its lookup table; what is left waits for the next round.
 PER_ROUND = 4096
 STEP = 1024
-#: The stand-ins of bytes from 128 on; printable ASCII stands for itself.
-BYTE_CHARS = dict(enumerate(byte_chars()[128:], 128))
 #: Documents read back at a time.
 AT_ONCE = 64
 #: Texts encoded at a time.
@@ -188,10 +186,9 @@ class Shard:
 
 class WordIds:
     """Ids of texts by the tokenizers library, word by word (see bpe for why a text may be cut at ASCII white
-    space). The distinct new words of a batch are encoded many at a time; a bounded memo keeps them.
-
-    Plain words (see bpe) need no more than their pieces between spaces: the library's model then ends each piece with
-    the end mark. All others are encoded one by one as whole texts."""
+    space). Plain words (see bpe) need no more than their pieces between spaces: the library's model then ends each piece
+    with the end mark. The distinct new pieces of a batch are encoded many at a time; all other words are encoded one by
+    one as whole texts. A bounded memo keeps pieces, and these words behind a space."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -205,54 +202,61 @@ class WordIds:
         for token, i in self.lib.get_vocab(with_added_tokens=False).items() if end else ():
             self.is_end[i] = token.endswith(end)
         self.by_pieces = bool(end)
-        self.memo = Memo(self.one, 96 << 20)
+        self.memo = Memo(lambda key: self.one(key[1:]), 96 << 20)
 
     def one(self, word: str) -> bytes:
         return np.array(self.lib.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        lists = [SPLIT.findall(w.lower()) for w in words]
-        text = " ".join([p for x in lists for p in x])
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(BYTE_CHARS)
-        ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-        ends = np.flatnonzero(self.is_end[ids])[np.cumsum([len(x) for x in lists]) - 1] + 1
-        data, cuts = ids.tobytes(), (2 * ends).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        got = list(map(self.memo.get, words))
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        got = list(map(self.memo.get, pieces))
         fresh: dict[str, bytes] = {}
-        plain = []
+        new = []
         for k in [k for k, x in enumerate(got) if x is None]:
-            w = words[k]
-            if (x := self.memo.old.get(w)) is not None:
-                got[k] = fresh[w] = x
-            elif self.by_pieces and len(w) <= MEMO_CHARS and "<" not in w and PLAIN.fullmatch(w):
-                plain.append(k)
+            if (x := self.memo.old.get(pieces[k])) is not None:
+                got[k] = fresh[pieces[k]] = x
             else:
-                got[k] = x = self.one(w)
-                if len(w) <= MEMO_CHARS:
-                    fresh[w] = x
-        plain.sort(key=lambda k: words[k].isascii())
-        for at in range(0, len(plain), 500):
-            few = plain[at : at + 500]
-            for k, x in zip(few, self._plain([words[k] for k in few]), strict=True):
-                got[k] = fresh[words[k]] = x
-        size = sum(map(len, fresh)) + sum(map(len, fresh.values()))
-        self.memo.put_all(fresh, size + 82 * len(fresh))
+                new.append(k)
+        for at in range(0, len(new), 1000):
+            few = new[at : at + 1000]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join([pieces[k] for k in few])], add_special_tokens=False)[0].ids, "<u2")
+            data, cuts = ids.tobytes(), (2 * np.flatnonzero(self.is_end[ids]) + 2).tolist()
+            for k, a, b in zip(few, [0, *cuts], cuts, strict=False):
+                got[k] = fresh[pieces[k]] = data[a:b]
+        self.memo.put_all(fresh, sum(map(len, fresh)) + sum(map(len, fresh.values())) + 98 * len(fresh))
         return got
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many it has) of distinct words."""
+        plain = plain_words(words, "<") & (np.fromiter(map(len, words), np.int64, len(words)) <= MEMO_CHARS) & self.by_pieces
+        flat, first, size = np.zeros(0, "<u2"), np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        if plain.any():
+            pieces, places = plain_pieces(words if plain.all() else [w for w, x in zip(words, plain, strict=True) if x])
+            got = [b"", *self._pieces(pieces[1:])]
+            known = np.array([len(x) for x in got], np.int32) // 2
+            n = known[places]
+            flat = _gathered(np.frombuffer(b"".join(got), "<u2"), (np.cumsum(known, dtype=np.int32) - known)[places], n)
+            size[plain] = np.add.reduceat(n, np.flatnonzero(places == 0))
+            first[plain] = np.cumsum(size[plain], dtype=np.int32) - size[plain]
+        others = np.flatnonzero(~plain)
+        got = [self.memo[" " + words[k]] if len(words[k]) <= MEMO_CHARS else self.one(words[k]) for k in others.tolist()]
+        size[others] = np.array([len(x) for x in got], np.int32) // 2
+        first[others] = len(flat) + np.cumsum(size[others], dtype=np.int32) - size[others]
+        return np.concatenate((flat, np.frombuffer(b"".join(got), "<u2"))), first, size
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids before each text and at the end)."""
         index, words, before = split_words(texts)
-        got = self._words(words)
-        size = np.array([len(x) for x in got], np.int32) // 2
-        flat, first = np.frombuffer(b"".join(got), "<u2"), np.cumsum(size, dtype=np.int32) - size
+        flat, first, size = self._words(words)
         n = size[index]
         ends = np.concatenate(([0], np.cumsum(n, dtype=np.int32)))  # a batch has fewer than 2**31 ids
-        return flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1], dtype=np.int32)], ends[before]
+        return _gathered(flat, first[index], n), ends[before]
+
+
+def _gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``: for each of ``first`` the ``n`` numbers from there on."""
+    start = np.cumsum(n, dtype=np.int32) - n
+    return flat[np.repeat(first - start, n) + np.arange(int(n.sum()), dtype=np.int32)]
 
 
 WRITTEN = "shard long, n_ids long, n_docs long, blob binary"

@@ -205,6 +205,11 @@ def test_strings_of_words_and_what_a_worker_holds():
             assert (ids, text) == (" ".join(map(str, want)), lib.decode(want, skip_special_tokens=False)), w
 
 
+def test_plain_words():
+    words = sorted({w for t in random_texts(1500, 6) for w in bpe.SPACES.findall(t)}) + ["a"] * 500
+    assert bpe.plain_words(words, "<").tolist() == [bool(bpe.PLAIN.fullmatch(w)) and "<" not in w for w in words]
+
+
 def test_slices_hold_so_many_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["aa", None, "bbbb", "c" * 50, "", "dd", "ddd"])], names=["doc_id", "text"])
     got = [x.column(0).to_pylist() for x in slices(batch, 1, 6)]

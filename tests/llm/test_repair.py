@@ -51,6 +51,27 @@ def test_words_as_the_library_has_them():
             assert ids[a:b].tolist() == lib.encode(t or "", add_special_tokens=False).ids
 
 
+def test_a_piece_of_many_words_is_encoded_once():
+    lib, words = Tokenizer.from_str(_spec()), repair.WordIds(_spec())
+    texts = ["stone, stone. (stone) Stone! stone's á Ã¡ Ã¡x", "STONE? 'stone' stone;stone á"]
+    sent = []
+
+    class Told:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(p for t in texts for p in t.split(" "))
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    words.pieces = Told(words.pieces)
+    for _ in range(2):
+        ids, edge = words.encode(pa.array(texts))
+        for t, a, b in zip(texts, edge, edge[1:], strict=False):
+            assert ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert sent.count("stone") == 1 and len(sent) == len(set(sent))
+
+
 def check(rows, docs, lib):
     rows = sorted(rows, key=lambda r: r.start)
     assert [r.doc_id for r in rows] == sorted(d[0] for d in docs)
