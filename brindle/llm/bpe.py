@@ -89,7 +89,7 @@ def plain_pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
     each word; bytes of the other pieces are in their stand-ins."""
     texts = (" " + " ".join(words[at : at + FEW_WORDS]).lower() for at in range(0, len(words), FEW_WORDS))
     found = pa.chunked_array([pa.array(SPLIT_WORDS.findall(t)) for t in texts], pa.string()).combine_chunks().dictionary_encode()
-    pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in found.dictionary.to_pylist()]
+    pieces = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
     return pieces, found.indices.to_numpy()
 
 

@@ -74,8 +74,8 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     coded = (words if pc.all(real).as_py() else words.filter(real)).dictionary_encode()
     del words, real
     try:
-        known = coded.dictionary.to_pylist()
-    except UnicodeDecodeError:  # Spark's strings are bytes that may be no UTF-8
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+    except (UnicodeDecodeError, pa.ArrowException):  # Spark's strings are bytes that may be no UTF-8
         known = [w.decode("utf-8", "replace") for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
     return coded.indices.to_numpy(), known, before
 

@@ -75,7 +75,8 @@ def compress(ids: np.ndarray, terminals: int, share: float = SHARE) -> tuple[np.
         row[ul], col[ur] = np.arange(1, len(ul) + 1), np.arange(1, len(ur) + 1)
         table = np.zeros((len(ul) + 1, len(ur) + 1), np.uint16)
         table[row[left], col[right]] = np.arange(1, len(pairs) + 1)
-        x, y = row[a], col[a]
+        at = a.astype(np.intp)  # else each of the two makes its own
+        x, y = row[at], col[at]
         maybe = np.flatnonzero((x[:-1] > 0) & (y[1:] > 0))
         hit = table[x[maybe], y[maybe + 1]]
         pos, hit = maybe[hit > 0], hit[hit > 0]
@@ -210,13 +211,13 @@ class WordIds:
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
         got = list(map(self.memo.get, pieces))
+        miss = [k for k, x in enumerate(got) if x is None]
+        old = list(map(self.memo.old.get, [pieces[k] for k in miss]))
+        new = [k for k, x in zip(miss, old, strict=True) if x is None]
         fresh: dict[str, bytes] = {}
-        new = []
-        for k in [k for k, x in enumerate(got) if x is None]:
-            if (x := self.memo.old.get(pieces[k])) is not None:
+        for k, x in zip(miss, old, strict=True):
+            if x is not None:
                 got[k] = fresh[pieces[k]] = x
-            else:
-                new.append(k)
         for at in range(0, len(new), 1000):
             few = new[at : at + 1000]
             ids = np.array(self.pieces.encode_batch_fast([" ".join([pieces[k] for k in few])], add_special_tokens=False)[0].ids, "<u2")
