@@ -5,22 +5,29 @@ Lines (cut at line feeds) with at least one word take part; equal lines are one.
 (an empty bin borrows from another by a fixed sequence), and each band of rows is a key.
 
 Lines that share a key are candidates, unless their signatures agree in less than ``AGREE`` of 64 bins, which a
-similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. Each
-line is first held against the smallest of its key (its leader); what is verified is linked, and components are
-formed. What still lies in different components of a key is joined with itself, the signatures in the join
-condition, so that of all pairs of a key only close ones come out. Lines that were close to a leader, similar or
+similar pair does with a probability of about 1e-5 (1e-3 if it has but 30 shingles); this spares texts from being fetched for unlike lines. A
+coarser test comes first, on a bit of each bin (``UNLIKE_BITS``), as that many fit beside a key.
+
+Keys leave a task as records of 20 bytes, packed by part, not as rows, and one task has all records of a part. Of a key with
+up to ``ALL`` lines all pairs are candidates at once; of one with up to ``MANY``, each line and the first it may be similar to; lines
+with more such partners, and all lines of larger keys, go on by their key. A key with more than ``MANY`` lines in one
+task goes on by itself, spread over all parts, with a note to its own, so a hot key makes no part large.
+
+Rows that go on are sorted by ranges of (key, line), so a key with a large share of all lines lies in many tasks; each
+reads its rows as a stream and has its own leader of such a key, the smallest line, against which the others are held. What is verified is
+linked, and components are formed. What still lies in different components of a key is held against each other, the
+signatures first, so that of all pairs of a key only close ones come out: keys of up to ``ROWS_KEY`` lines in one task each,
+larger ones by a join that the adaptive skew join splits. Lines that were close to another, similar or
 not, are copies that differ by about as much as the threshold, and may be many: between two of these, in keys of
-more than ``FEW``, the condition compares the shingles' hashes as well, so that only links come out, and few pairs that ``SLACK`` equal
+more than ``FEW``, the shingles' hashes are compared as well, so that only links come out, and few pairs that ``SLACK`` equal
 hashes of unlike shingles could decide. A key full of copies of one line thus costs a few pairs per line, and no candidate is left out. A pair
 is linked if the Jaccard similarity of the two sets is ``SIMILARITY`` or more, over the whole lines.
-Within a component only the first line by (doc_id, line number) stays.
-
-Keys are sorted by ranges of (key, line), so a key with a large share of all lines lies in many tasks; each reads its
-rows as a stream and has its own leader of such a key. First places and sizes are aggregates (combined before their
-shuffle) that are written and joined back, where the adaptive skew join splits large keys.
+Within a component only the first line by (doc_id, line number) stays; only lines that are repeated or in a component take
+part in that. First places and sizes are aggregates (combined before their shuffle) that are written and joined back.
 
 Shuffles carry hashes. The lines of candidate pairs are fetched by a bit map of their hashes (of fixed size: at worst
-it holds nothing back), repeats combined before the shuffle; texts move by doc_id once, to take lines out. Memory: one batch of texts, or two lines with their shingles. Defined cases: null texts stay null
+it holds nothing back), repeats combined before the shuffle; texts move by doc_id once, to take lines out. Memory: one batch of texts, the keys of
+``LINES_OUT`` lines, the records of one part, or ``PAIRS`` bytes of pairs with their shingles. Defined cases: null texts stay null
 and have no lines; blank lines always stay; rows that repeat doc_id and text are one document; ties of doc_id go
 by the text's hash; columns of any name pass; an empty table gives no rows.
 """
@@ -29,16 +36,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import WORD, Tables, map_rows, release
+from .common import WORD, Tables, release
 from .components import components
 from .debruijn import _mixed, rolling
 
@@ -49,12 +58,26 @@ BANDS, ROWS = 18, 6
 SIMILARITY = 0.8
 #: Characters hashed at a time: what fits in a core's cache.
 CHUNK = 1 << 15
+#: Chunks whose empty bins borrow together.
+CHUNKS = 16
+#: Bytes of the texts of pairs that are held against each other at a time.
+PAIRS = 1 << 20
 #: Hashes of sets in a batch.
 SET_HASHES = 1 << 20
-#: Rows of keys in a batch.
-ROWS_OUT = 1 << 16
+#: Lines whose keys a task deals out together; bytes of records that leave it at a time.
+LINES_OUT = 1 << 16
+BLOB = 1 << 22
 #: Rows of a key up to which its close pairs all go to the texts.
 FEW = 16
+#: Lines of a key up to which all its pairs that may be similar come out at once.
+ALL = 32
+#: Lines of a key up to which one task holds all of them against each other by bits of their sketches.
+MANY = 256
+#: Lines of a key, of several components, up to which one task holds them against each other.
+ROWS_KEY = 1024
+#: Of 64 bits, one of each bin, the most in which lines that may be similar differ. A similar pair differs in more with a
+#: probability of about 1e-6 (sets of 30 shingles and more), as a bin of it differs with one of 0.1.
+UNLIKE_BITS = 20
 #: Equal hashes (of 32 bits) of unlike shingles that a pair is allowed; more have a probability below 1e-18.
 SLACK = 3
 #: Bits of the map of wanted lines that is broadcast, a row for 64 of them.
@@ -68,6 +91,9 @@ SEEN = 200_000
 HAS_WORD = re.compile(WORD)
 _BINS = BANDS * ROWS
 _EMPTY = np.uint64(1 << 63)
+_RECORD = np.dtype([("sub", "<u4"), ("line", "<i8"), ("bits", "<u8")])
+_MANY = np.dtype([("key", "<i8"), ("line", "<i8")])
+_SKETCHED = np.dtype([("line", "<i8"), ("sketch", "<u8", (SKETCH,))])
 #: Where an empty bin looks, try after try.
 _BORROW = np.random.default_rng(11).integers(0, _BINS, (512, _BINS))
 
@@ -97,28 +123,39 @@ def _minima(lines: list[str]) -> np.ndarray:
     sizes = np.array([len(x) for x in lines], np.int64)
     h = _hashes(_points("".join(lines)))
     ends = np.cumsum(sizes)
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    inside = np.arange(len(h)) + SHINGLE <= ends[line]
-    h, line = h[inside], line[inside]
-    sig = np.full(len(lines) * _BINS, _EMPTY)
-    bins = ((h >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)
-    np.minimum.at(sig, line * _BINS + bins.astype(np.int64), h & np.uint64(0xFFFFFFFFFF))
-    return sig.reshape(len(lines), _BINS)
+    sig = np.full(len(lines) * _BINS + 1, _EMPTY)  # the last is for what lies in two lines
+    bins = (((h >> np.uint64(40)) * np.uint64(_BINS)) >> np.uint64(24)).view(np.int64)
+    bins += np.repeat(np.arange(0, len(lines) * _BINS, _BINS), sizes)[: len(h)]
+    bins[np.add.outer(ends[:-1], np.arange(1 - SHINGLE, 0)).ravel()] = len(lines) * _BINS
+    np.minimum.at(sig, bins, h & np.uint64(0xFFFFFFFFFF))
+    return sig[:-1].reshape(len(lines), _BINS)
+
+
+def _borrow(sig: np.ndarray) -> None:
+    """Empty bins take the value of the first bin with one of its own, of those they look at in turn."""
+    own = sig.copy().ravel()
+    r, b = np.nonzero(sig == _EMPTY)
+    row = r * _BINS
+    for step in _BORROW:
+        if not len(b):
+            break
+        found = own[row + step[b]]
+        have = found != _EMPTY
+        if have.any():
+            sig.ravel()[(row + b)[have]] = found[have]
+            row, b = row[~have], b[~have]
 
 
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of ``BANDS`` keys and a sketch for each line. A line above ``CHUNK`` is hashed in overlapping pieces."""
     step = CHUNK - SHINGLE + 1
     cut = {k: [x[a : a + CHUNK] for a in range(0, len(x) - SHINGLE + 1, step)] for k, x in enumerate(lines) if len(x) > CHUNK}
-    sig = _minima([x if k not in cut else "" for k, x in enumerate(lines)])
+    short = [x if k not in cut else "" for k, x in enumerate(lines)]
+    chunk = (np.cumsum([len(x) + SHINGLE for x in short]) // CHUNK).tolist()
+    sig = np.concatenate([_minima([x for _, x in part]) for _, part in groupby(zip(chunk, short, strict=True), lambda x: x[0])])
     for k, parts in cut.items():
         sig[k] = np.min([_minima([p])[0] for p in parts], axis=0)
-    own = sig.copy()
-    for step in _BORROW:
-        r, b = np.nonzero(sig == _EMPTY)
-        if not len(r):
-            break
-        sig[r, b] = own[r, step[b]]
+    _borrow(sig)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(ROWS):
         keys = keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::ROWS] + np.uint64(1)
@@ -126,27 +163,94 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _mixed(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.bitwise_or.reduce(few, axis=2)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """(key, line, sketch) for each band of each line; the sketch is with a line's first key alone."""
+def _bits(sketch: np.ndarray) -> np.ndarray:
+    """A bit of each bin of the sketches."""
+    one = sketch & np.uint64(0x1111111111111111)
+    return np.bitwise_or.reduce(one << np.arange(SKETCH, dtype=np.uint64), axis=1)
+
+
+def _dealt(ids: np.ndarray, keys: np.ndarray, sketch: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, kind, records) of the keys (0; 1 and 2: of many lines) and sketches (3) of lines, each once. A key is its part and ``sub``, 32 bits; records of a key go to
+    its part, but for a key with more than ``MANY`` lines here, of which one line goes there and all go anywhere."""
+    key = keys.ravel()
+    part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    rows = np.empty(len(key), _RECORD)
+    rows["sub"] = sub = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    rows["line"] = np.repeat(ids, BANDS)
+    rows["bits"] = np.repeat(_bits(sketch), BANDS)
+    order = np.argsort(sub)
+    size = np.diff(np.append(_runs(sub[order]), len(sub)))
+    if size.max(initial=0) > MANY:
+        at = order[np.repeat(size > MANY, size)]
+        whole = part[at].astype(np.int64) << 32 | sub[at]
+        _, first, back, n = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        first, many = at[first[n > MANY]], n[back] > MANY
+        at, whole = at[many], whole[many]
+        out = np.empty(len(at), _MANY)
+        out["key"], out["line"] = whole, rows["line"][at]
+        to = (_mixed((out["line"] ^ whole).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        yield from ((p, 2, out[to == p].tobytes()) for p in np.unique(to).tolist())
+        yield from ((p, 1, rows[first[part[first] == p]].tobytes()) for p in np.unique(part[first]).tolist())
+        rest = np.ones(len(rows), bool)
+        rest[at] = False
+        rows, part = rows[rest], part[rest]
+    lines = np.empty(len(ids), _SKETCHED)
+    lines["line"], lines["sketch"] = ids, sketch
+    yield from _split(rows, part, 0, parts)
+    yield from _split(lines, (ids.view(np.uint64) % np.uint64(parts)).astype(part.dtype), 3, parts)
+
+
+def _split(records: np.ndarray, to: np.ndarray, kind: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    ordered = records[np.argsort(to, kind="stable")]
+    ends = np.cumsum(np.bincount(to, minlength=parts))
+    for p in np.flatnonzero(np.diff(ends, prepend=0)).tolist():
+        yield p, kind, ordered[ends[p - 1] if p else 0 : ends[p]].tobytes()
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def _signed(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, kind, records) of the keys and sketches of all lines, as ``_dealt`` gives them, and of repeated lines (4)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("lines")
         seen: set[int] = set()
+        again: set[int] = set()
         ids: list[int] = []
         part: list[str] = []
         done: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
-            keys, sketch = (np.concatenate(x) for x in zip(*done, strict=True))
-            starts = np.repeat(np.arange(len(ids) + 1) * SKETCH, [1] + [BANDS] * len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sketch.view(np.int64).ravel()), mask=pa.array(np.tile(np.arange(BANDS) > 0, len(ids))))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(np.array(ids, np.int64), BANDS)), lists], names=["key", "line", "sketch"])
+        def out() -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            repeats = np.array(list(again), np.int64)
+            to = (repeats.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            for row in chain(
+                _dealt(np.array(ids, np.int64), *(np.concatenate(x) for x in zip(*done, strict=True)), parts),
+                _split(repeats, to, 4, parts),
+            ):
+                held.append(row)
+                size += len(row[2])
+                if size >= BLOB:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(held)
+
+        def batch_of(rows: list) -> pa.RecordBatch:
+            p, kind, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["part", "kind", "records"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for x in t.split("\n") if t else ():
-                    if not HAS_WORD.search(x) or (i := line_hash(x)) in seen:
+                    if not HAS_WORD.search(x):
+                        continue
+                    if (i := line_hash(x)) in seen:
+                        again.add(i)
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -154,18 +258,92 @@ def _keys(docs: DataFrame) -> DataFrame:
                     ids.append(i)
                     part.append(x)
                     size += len(x)
-                    if size >= CHUNK:
+                    if size >= CHUNKS * CHUNK:
                         done.append(signatures(part))
                         part, size = [], 0
-                        if len(ids) * BANDS >= ROWS_OUT:
-                            yield out()
-                            ids, done = [], []
+                        if len(ids) >= LINES_OUT:
+                            yield from out()
+                            again, ids, done = set(), [], []
         if part:
             done.append(signatures(part))
-        if ids:
-            yield out()
+        if ids or again:
+            done.append((np.zeros((0, BANDS), np.uint64), np.zeros((0, SKETCH), np.uint64)))
+            yield from out()
+
+    return docs.select("text").mapInArrow(run, "part int, kind int, records binary")
 
-    return docs.select("text").mapInArrow(run, "key long, line long, sketch array<long>")
+
+def _meetings(signed: DataFrame, parts: int) -> DataFrame:
+    """(key, line, other, sketch). With a sketch: a line's; with a key: a line of a key that is for ``_shared``; with another
+    line: a pair of lines that share a key and may be similar; with none of these: a line that occurs more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release("lines")
+        held: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for p, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if kind == 2:
+                    many = np.frombuffer(data, _MANY)
+                    yield _met_rows(key=many["key"], line=many["line"])
+                else:
+                    held.setdefault((p, kind), []).append(data)
+        for p in {p for p, _ in held}:
+            lines = np.frombuffer(b"".join(held.pop((p, 3), [])), _SKETCHED)
+            _, first, n = np.unique(lines["line"], return_index=True, return_counts=True)
+            lines = lines[first]
+            yield _met_rows(line=lines["line"], sketch=lines["sketch"])
+            yield _met_rows(line=np.union1d(lines["line"][n > 1], np.frombuffer(b"".join(held.pop((p, 4), [])), np.int64)))
+            rows, flags = (np.frombuffer(b"".join(held.pop((p, k), [])), _RECORD) for k in (0, 1))
+            yield from _met(p, rows, flags)
+
+    return signed.repartitionById(parts, F.col("part")).mapInArrow(run, "key long, line long, other long, sketch array<long>")
+
+
+def _met_rows(key=None, line=None, other=None, sketch=None) -> pa.RecordBatch:
+    n = len(line)
+    longs = [pa.nulls(n, pa.int64()) if x is None else pa.array(np.ascontiguousarray(x), pa.int64()) for x in (key, line, other)]
+    lists = pa.nulls(n, pa.list_(pa.int64())) if sketch is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH, pa.int32()), pa.array(np.ascontiguousarray(sketch).view(np.int64).ravel()))
+    return pa.RecordBatch.from_arrays([*longs, lists], names=["key", "line", "other", "sketch"])
+
+
+def _met(part: int, rows: np.ndarray, flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What ``_meetings`` gives of the keys of a part. Pairs of keys with up to ``ALL`` lines all come out if they may be similar;
+    of keys with up to ``MANY`` lines those with the first line that each has, and lines with more of them by their key; of
+    larger keys, and of those that ``flags`` name, all lines by their key."""
+    many = np.unique(flags["sub"])
+    rows = np.concatenate((rows, flags))
+    order = np.argsort(rows["sub"])
+    start = _runs(rows["sub"][order])
+    size = np.diff(np.append(start, len(rows)))
+    order = order[np.repeat(size > 1, size) | np.isin(rows["sub"][order], many)]
+    rows = rows[order]
+    rows = rows[np.lexsort((rows["line"], rows["sub"]))]
+    sub, line = rows["sub"], rows["line"]
+    new = np.concatenate(([True], (sub[1:] != sub[:-1]) | (line[1:] != line[:-1])))[: len(rows)]
+    sub, line, bits = sub[new], line[new], rows["bits"][new]
+    start = _runs(sub)
+    size = np.diff(np.append(start, len(sub)))
+    large = (size > MANY) | np.isin(sub[start], many)
+    by_key = np.repeat(large, size)
+    few = np.repeat(size <= ALL, size)
+    left = np.repeat(np.where(large, 0, size), size) - (np.arange(len(sub)) - np.repeat(start, size)) - 1  # lines after each in its key
+    has = np.zeros(len(sub), bool)
+    ahead = np.argsort(-left, kind="stable")
+    counts = -left[ahead]
+    for d in range(int(left.max(initial=0)), 0, -1):
+        i = ahead[: np.searchsorted(counts, -d, "right")]
+        i = i[np.bitwise_count(bits[i] ^ bits[i + d]) <= UNLIKE_BITS]
+        if not len(i):
+            continue
+        first = ~has[i + d]
+        has[i + d] = True
+        more = i[~first & ~few[i]]
+        by_key[more] = by_key[more + d] = True
+        i = i[first | few[i]]
+        if len(i):
+            yield _met_rows(line=line[i], other=line[i + d])
+    if by_key.any():
+        yield _met_rows(key=sub[by_key].astype(np.int64) | part << 32, line=line[by_key])
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -245,94 +423,160 @@ def _near(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that are similar. Rows come in the order of ``a``, whose shingles are held for the next."""
 
-    def rows(a, b, ta, tb):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release("lines")
-        held: tuple = None, None
-        for i, j, x, y in zip(a, b, ta, tb, strict=True):
-            if held[0] != i:
-                held = i, _packed(x)
-            other = _packed(y) if held[1] is not None else None
-            if _near(held[1], other) if other is not None else similar(x, y):
-                yield i, j
+        for batch in batches:
+            for part in _by_size(batch, (2, 3), PAIRS):
+                a, b = (part.column(k).to_numpy() for k in range(2))
+                ok = _similar_pairs(a, part.column(2).to_pylist(), part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     left = texts.select(F.col("line").alias("a"), F.col("content").alias("ta"))
     right = texts.select(F.col("line").alias("b"), F.col("content").alias("tb"))
-    return map_rows(pairs.join(right, "b").join(left, "a"), ["a", "b", "ta", "tb"], rows, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
+
+def _by_size(batch: pa.RecordBatch, columns: tuple[int, ...], most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts in ``columns`` have about ``most`` bytes at most, or one row."""
+    sizes = sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in columns)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _similar_pairs(a: np.ndarray, left: list[str], right: list[str]) -> np.ndarray:
+    """Which pairs (left, right) are similar; rows with the same ``a`` in turn have the same text at the left."""
+    start = _runs(a)
+    texts = [_padded(left[k]) for k in start.tolist()] + [_padded(x) for x in right]
+    p = _points("".join(texts))
+    if p.max() >> np.uint64(16):
+        return np.array([similar(x, y) for x, y in zip(left, right, strict=True)], bool)
+    n = len(p) - SHINGLE + 1
+    x = p[:n].copy()
+    for k in range(1, SHINGLE):
+        x = x << np.uint64(16) | p[k : k + n]
+    ends = np.cumsum([len(t) for t in texts]).tolist()
+
+    def distinct(k: int) -> np.ndarray:
+        one = x[ends[k - 1] if k else 0 : ends[k] - SHINGLE + 1]
+        one.sort()
+        new = one[1:] != one[:-1]
+        return one if new.all() else one[np.concatenate(([True], new))]
+
+    ok = np.zeros(len(a), bool)
+    bounds = [*start.tolist(), len(a)]
+    for k in range(len(start)):
+        own = distinct(k)
+        for j in range(bounds[k], bounds[k + 1]):
+            ok[j] = _near(own, distinct(len(start) + j))
+    return ok
 
 
 def _has_word(line):
     return F.octet_length(F.btrim(line, F.lit(" \t\n\x0b\f\r"))) > 0
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "content"))
-    return lines.filter(_has_word("content")).select("doc_id", "th", "no", F.xxhash64("content").alias("line"))
+def _at(x):
+    return F.pmod(x, F.lit(MAP_BITS))
 
 
-def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, content) of the lines in ``wanted``."""
+def _bit(x):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), _at(x).bitwiseAND(F.lit(63)).cast("int"))
+
 
-    def at(line):
-        return F.pmod(line, F.lit(MAP_BITS))
+def _marked(rows: DataFrame, column: str, wanted: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """``rows`` with a bit map of ``wanted`` joined, and whether a row's ``column``, a hash, is on it: it is if it is wanted, and
+    seldom else."""
+    x = F.col(wanted.columns[0])
+    bits = wanted.select(F.shiftright(_at(x), 6).alias("_word"), _bit(x).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    joined = rows.join(F.broadcast(bits), F.shiftright(_at(F.col(column)), 6) == F.col("_word"), how)
+    return joined, F.col("_bits").bitwiseAND(_bit(F.col(column))) != 0
 
-    def bit(line):
-        return F.call_function("shiftleft", F.lit(1).cast("long"), at(line).bitwiseAND(F.lit(63)).cast("int"))
 
-    bits = wanted.select(F.shiftright(at(F.col("line")), 6).alias("word"), bit(F.col("line")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("content")).filter(_has_word("content")).select(F.xxhash64("content").alias("line"), "content")
-    held = lines.join(F.broadcast(bits), F.shiftright(at(F.col("line")), 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit(F.col("line"))) != 0)
-    return held.select("line", "content").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``wanted``."""
+    joined, on = _marked(rows, column, wanted, "inner")
+    return joined.filter(on).select(*rows.columns)
+
+
+def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, th, no, line, content) of all lines with a word; with their contents if they are in ``wanted``."""
+    lines = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("no", "content"))
+    joined, on = _marked(lines.filter(_has_word("content")).withColumn("line", F.xxhash64("content")), "line", wanted, "left")
+    return joined.select("doc_id", "th", "no", "line", F.when(on, F.col("content")).alias("content"))
+
+
+def _contents(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, content) of the lines in ``wanted``."""
+    return lines.filter("content is not null").select("line", "content").dropDuplicates(["line"]).join(wanted, "line", "left_semi")
 
 
 class _Texts:
-    """Contents of lines, fetched from the documents when pairs ask for them."""
+    """Contents of lines, fetched from the documents when pairs ask for them. The first time all places are written."""
 
     def __init__(self, docs: DataFrame, tables: Tables):
-        self.docs, self.tables, self.held = docs, tables, []
+        self.docs, self.tables, self.places, self.held = docs, tables, None, []
 
     def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar; asked for twice at most."""
         lines = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
         for t in self.held:
             lines = lines.join(t, "line", "left_anti")
         lines = self.tables.write(lines, "lines")
-        self.held.append(self.tables.write(_contents(self.docs, lines), "texts"))
+        if self.held:  # few are missing: one text for each
+            first = _among(self.places.select("line", "th"), "line", lines).groupBy("line").agg(F.min("th").alias("th")).select("th")
+            holders = self.tables.write(first, "holders")
+            found = _occurrences(_among(self.docs, "th", holders), lines)
+        else:
+            found = self.places = self.tables.write(_occurrences(self.docs, lines), "places")
+        self.held.append(self.tables.write(_contents(found, lines), "texts"))
         self.tables.drop(lines)
         self.tables.free()
         every = self.held[0]
-        for t in self.held[1:]:
-            every = every.union(t)
+        if self.held[1:]:
+            every = _among(every, "line", pairs.select("a").union(pairs.select("b"))).union(self.held[1])
         return self.tables.write(_verified(pairs, every), "links")
 
 
 def groups(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """(places of lines with a word, (node, root) of lines that are not their component's root). ``docs``: doc_id, text, th."""
-    keys = tables.write(_keys(docs), "keys")
-    table = tables.write(_shared(keys), "met")
-    met = table.select("key", "line")
-    wanted = met.select("line").distinct()
-    sketches = tables.write(keys.filter("sketch is not null").select("line", "sketch").dropDuplicates(["line"]).join(wanted, "line", "left_semi"), "sketches")
-    tables.drop(keys)
-    tables.free()
+    """(places of all lines that are repeated or similar to others, (node, root) of lines that are not their component's
+    root). ``docs``: doc_id, text, th."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = tables.write(_meetings(_signed(docs, parts), parts), "met")
+    table = tables.write(_shared(met.filter("key is not null").select("key", "line")), "shared")
     texts = _Texts(docs, tables)
+    repeated = tables.write(met.filter("key is null and other is null and sketch is null").select("line"), "repeated")
 
     edge = table.filter("edge").select("key", F.col("leader").alias("b"))  # two rows a task
     between = edge.join(edge.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a < b").select("a", "b")
-    pairs = table.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(between).distinct()
-    pairs = tables.write(_close(pairs, sketches), "pairs")
+    star = table.filter("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b"))
+    pairs = tables.write(met.filter("other is not null").select(F.col("line").alias("a"), F.col("other").alias("b")).union(star).union(between).distinct(), "pairs")
+    wanted = table.select("line").union(pairs.select("a")).union(pairs.select("b"))
+    sketches = tables.write(_among(met.filter("sketch is not null").select("line", "sketch"), "line", wanted), "sketches")
+    tables.drop(met)
+    apart, pairs = pairs, tables.write(_close(pairs, sketches), "close")
+    tables.drop(apart)
     tables.free()
     links = texts.verified(pairs)
     roots = components(links, tables)
-    mixed = tables.write(_mixed_keys(met.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), tables), "mixed")
-    sets = tables.write(_sets(texts.held[0].join(mixed.select("line").distinct(), "line", "left_semi")), "sets")
+    shared = table.select("key", "line")
+    mixed = tables.write(_mixed_keys(shared.join(roots, F.col("line") == F.col("node"), "left").select("key", "line", F.coalesce("root", "line").alias("root")), tables), "mixed")
+    sets = tables.write(_sets(_among(texts.held[0], "line", mixed.filter(F.col("n") > FEW).select("line"))), "sets")
     # both lines of a pair tried above have sets, which tell them apart if they were not linked
-    more = tables.write(_close_across(mixed, sketches, sets), "more")
+    more = tables.write(_close_across(mixed, sketches, sets, tables), "more")
     tables.drop(mixed, sets)
     tables.free()
     links = links.union(more.filter("sure").select("a", "b")).union(texts.verified(more.filter("not sure").select("a", "b")))
     roots = components(links, tables)
     tables.drop(table, sketches, *texts.held, pairs, more)
-    places = tables.write(_occurrences(docs), "places")
-    return places, roots
+    # other lines are alone in their group
+    places = texts.places.select("doc_id", "th", "no", "line")
+    grouped = tables.write(_among(places, "line", repeated.union(roots.select("node")).union(roots.select("root"))), "grouped")
+    tables.drop(texts.places, repeated)
+    return grouped, roots
 
 
 def _mixed_keys(named: DataFrame, tables: Tables) -> DataFrame:
@@ -385,21 +629,75 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").filter(_may_be_similar("sa", "sb")).select("a", "b")
 
 
-def _close_across(mixed: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, sure) of lines that share a key, in different components, that may be similar, or surely are; each from its
-    least shared key."""
+def _close_across(mixed: DataFrame, sketches: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b, sure) of lines that share a key, in different components, that may be similar, or surely are. Keys
+    with more than ``ROWS_KEY`` lines are joined with themselves, others are held in one task each."""
     by_line = mixed.groupBy("line", "root").agg(F.collect_set(F.struct("key", "n")).alias("x"))  # a line has ``BANDS`` keys
-    known = by_line.join(sketches, "line").join(sets, "line", "left").select("line", "root", F.col("x.key").alias("keys"), "sketch", "set", F.explode("x").alias("x"))
+    known = tables.write(by_line.join(_among(sketches, "line", mixed.select("line")), "line").join(sets, "line", "left").select("line", "root", "x", "sketch", "set"), "known")
+    known = known.select("line", "root", F.col("x.key").alias("keys"), "sketch", "set", F.explode("x").alias("x"))
     # keys of few lines have few pairs: sets needn't travel there
-    known = known.select("line", "root", "keys", "sketch", F.when(F.col("x.n") > FEW, F.col("set")).alias("set"), F.col("x.key").alias("key"))
+    known = known.select("line", "root", "keys", "sketch", F.when(F.col("x.n") > FEW, F.col("set")).alias("set"), F.col("x.key").alias("key"), F.col("x.n").alias("n"))
+    large = known.filter(F.col("n") > ROWS_KEY)
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.line") < F.col("r.line")) & (F.col("l.root") != F.col("r.root"))
     least = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
     both, each = F.size(F.array_intersect("l.set", "r.set")), F.size("l.set") + F.size("r.set")
     # with up to SLACK equal hashes of unlike shingles, sets are larger and share more or less by as many
     open_ = F.col("l.set").isNull() | F.col("r.set").isNull() | (both + SLACK >= SIMILARITY * (each - both - SLACK))
     sure = F.coalesce(both - SLACK >= SIMILARITY * (each - both + 3 * SLACK), F.lit(False))
-    found = known.alias("l").join(known.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least & open_)
-    return found.select(F.col("l.line").alias("a"), F.col("r.line").alias("b"), sure.alias("sure"))
+    found = large.alias("l").join(large.alias("r"), apart & _may_be_similar("l.sketch", "r.sketch") & least & open_)
+    found = found.select(F.col("l.line").alias("a"), F.col("r.line").alias("b"), sure.alias("sure"))
+    rest = known.filter(F.col("n") <= ROWS_KEY).select("key", "line", "root", "sketch", "set")
+    return found.union(rest.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_across, "a long, b long, sure boolean")).distinct()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_close_across`` of rows (key, line, root, sketch, set) in the order of (key, line)."""
+    release("lines")
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held else rows
+        last = int(_runs(rows.column(0).to_numpy())[-1]) if len(rows) else 0  # of the key that may go on
+        if last:
+            yield from _across_keys(rows.slice(0, last))
+        held = rows.slice(last)
+    if held:
+        yield from _across_keys(held)
+
+
+def _across_keys(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    rows = rows.combine_chunks()
+    key, line, root = (rows.column(k).to_numpy() for k in range(3))
+    sketch = rows.column(3).chunk(0).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+    sets = rows.column(4).chunk(0)
+    has_set, hashes = sets.is_valid().to_numpy(zero_copy_only=False), sets.flatten().to_numpy()
+    end = np.cumsum(pc.fill_null(pc.list_value_length(sets), 0).to_numpy())
+    begin = np.append(0, end[:-1])
+    start = _runs(key)
+    many = np.diff(np.append(start, len(key)))
+    left = np.repeat(many, many) - (np.arange(len(key)) - np.repeat(start, many)) - 1  # lines after each in its key
+    ahead = np.argsort(-left, kind="stable")
+    counts = -left[ahead]
+    most = int((1 - AGREE) * 16 * SKETCH)
+    for d in range(1, int(left.max()) + 1):
+        i = ahead[: np.searchsorted(counts, -d, "right")]
+        i = i[root[i] != root[i + d]]
+        z = sketch[i] ^ sketch[i + d]
+        z |= z >> np.uint64(1)
+        z = (z | z >> np.uint64(2)) & np.uint64(0x1111111111111111)
+        i = i[np.bitwise_count(z).sum(axis=1) <= most]
+        if not len(i):
+            continue
+        open_, sure = np.ones(len(i), bool), np.zeros(len(i), bool)
+        for k, j in enumerate(i.tolist()):
+            if has_set[j] and has_set[j + d]:
+                both = np.sort(np.concatenate((hashes[begin[j] : end[j]], hashes[begin[j + d] : end[j + d]])))
+                each, both = len(both), np.count_nonzero(both[1:] == both[:-1])
+                open_[k] = both + SLACK >= SIMILARITY * (each - both - SLACK)
+                sure[k] = both - SLACK >= SIMILARITY * (each - both + 3 * SLACK)
+        i, sure = i[open_], sure[open_]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(line[i]), pa.array(line[i + d]), pa.array(sure)], names=["a", "b", "sure"])
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Tables]:
@@ -411,8 +709,8 @@ def _removed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Tables
     rooted = tables.write(rooted.select(F.coalesce("root", "line").alias("group"), F.struct("doc_id", "th", "no").alias("at")), "rooted")
     tables.drop(places, roots)
     first = tables.write(rooted.groupBy("group").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
-    gone = rooted.join(first, "group").filter(~F.col("at").eqNullSafe(F.col("first"))).select("at.*").distinct()
-    by_doc = gone.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_list("no")).alias("gone"))
+    gone = rooted.join(first, "group").filter(~F.col("at").eqNullSafe(F.col("first"))).select("at.*")
+    by_doc = gone.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.collect_set("no").alias("gone"))
     by_doc = tables.write(by_doc, "gone")
     tables.drop(rooted, first)
     tables.free()
